@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kith.functions.text import PAIR_SEP
+TOKEN_SEP = r"; |\n"  # between pairs of a row text, and between pooled row texts
 
 
 def to_doubles(col: Column) -> Column:
@@ -26,7 +26,7 @@ def hash_bucket(token: Column, dim: int) -> Column:
 
 def hash_vector(text: Column, dim: int) -> Column:
     """Row text as a count vector: each ``"col: value"`` pair adds one to its bucket."""
-    buckets = F.transform(F.split(text, PAIR_SEP), lambda t: hash_bucket(t, dim))
+    buckets = F.transform(F.split(text, TOKEN_SEP), lambda t: hash_bucket(t, dim))
     return F.aggregate(
         buckets,
         F.array_repeat(F.lit(0.0).cast("float"), dim),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from kith.operators.embed import TokenJaccard
 from kith.operators.topk import top_per_group
+from kith.sources.workspace import materialize
 
 BLOCK_SEEDS = 1024   # seeds in one block of the prefix form
 BLOCK_GROUP = 1024   # blocks scanned by one task
@@ -44,7 +45,8 @@ def rerank(scored: DataFrame, top_m: int, row_cols: Sequence[str] = ("neighbor_i
     first enters it.
     """
     order = [F.col("score").desc(), *[F.col(c) for c in row_cols]]
-    rows = scored.withColumnRenamed(score_col, "score") if score_col != "score" else scored
+    kept = dict.fromkeys(["seed_id", seed_order, *row_cols])
+    rows = scored.select(*kept, F.col(score_col).alias("score"))
     if mode == "prefix":
         return _prefix(rows, top_m, list(row_cols), seed_order, order)
     if mode != "seed":
@@ -59,6 +61,7 @@ def _prefix(rows: DataFrame, m: int, row_cols: list[str], seed_order: str, order
     first = (top_per_group(first, ["pos"], order, m, rank_col="r").drop("r")
              .withColumn("block", F.floor(F.col("pos") / BLOCK_SEEDS))
              .withColumn("group", F.floor(F.col("block") / BLOCK_GROUP)))
+    first = materialize(first, "prefix")  # read several times below; at most m rows per seed
     cols, asc = ["score", *row_cols], [False] + [True] * len(row_cols)
     kinds = [first.schema[c] for c in cols]
 
