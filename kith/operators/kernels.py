@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 DIGITS = 9            # scores are rounded before ranking, so equal pairs tie on every machine
 TILE_CELLS = 4_000_000
@@ -29,6 +30,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, int(sizes[0]))
 
 
+def usable(batch, metric: str, at: int = 1):
+    """A batch without the rows whose vector is null (or, for cosine, zero: it has no direction)."""
+    column = batch.column(at)
+    if column.null_count:
+        batch = batch.filter(pc.is_valid(column))
+        column = batch.column(at)
+    if metric == "cosine" and batch.num_rows:
+        some = np.any(matrix(column) != 0, axis=1)
+        if not some.all():
+            batch = batch.filter(pa.array(some))
+    return batch
+
+
 def id_values(column: pa.Array) -> np.ndarray:
     if pa.types.is_integer(column.type):
         return column.to_numpy(zero_copy_only=False)
@@ -114,25 +128,30 @@ class Best:
 
     def __init__(self, n_seeds: int, k: int):
         self.k, self.n = k, n_seeds
-        self.floor = np.full(n_seeds, -np.inf)
+        self.floor = np.full(n_seeds, -np.inf)  # score and id of each seed's k-th best
+        self.floor_id = None
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows, self.limit = 0, max(2 * n_seeds * k, 200_000)
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """Take in a seeds x rows tile whose columns ascend by id."""
         k, n = self.k, scores.shape[1]
-        mask = scores >= self.floor[:, None]
+        mask = scores > self.floor[:, None]
+        if self.floor_id is None:
+            mask |= scores == self.floor[:, None]
+        elif ids[0] < self.floor_id.max():  # an equal score gets in by a smaller id only
+            mask |= (scores == self.floor[:, None]) & (ids[None, :] < self.floor_id[:, None])
         if n > k and np.count_nonzero(mask) > 2 * self.n * k:
             kth = np.partition(scores, n - k, axis=1)[:, n - k]
             cut = np.maximum(kth, self.floor)[:, None]
             above, ties = scores > cut, scores == cut
             room = k - above.sum(axis=1, keepdims=True)
-            mask = above | (ties & (np.cumsum(ties, axis=1) <= room))
+            mask &= above | (ties & (np.cumsum(ties, axis=1) <= room))
         seed, row = np.nonzero(mask & (scores > -np.inf))
         if len(seed):
             self.parts.append((seed, scores[seed, row], ids[row]))
             self.rows += len(seed)
-            if self.rows > self.limit:
+            if self.rows > self.limit or (self.floor_id is None and self.rows >= self.n * k):
                 self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +162,13 @@ class Best:
         place = np.arange(len(seed)) - first[seed]
         keep = place < self.k
         last = place == self.k - 1
-        self.floor[seed[last]] = score[last]
+        if last.any():
+            if self.floor_id is None and last.sum() == self.n:
+                self.floor_id = ids[last].copy()
+            self.floor[seed[last]] = score[last]
+            if self.floor_id is not None:
+                self.floor_id = self.floor_id.astype(np.promote_types(self.floor_id.dtype, ids.dtype))
+                self.floor_id[seed[last]] = ids[last]
         kept = (seed[keep], score[keep], ids[keep])
         self.parts, self.rows = [kept], int(keep.sum())
         return kept
@@ -155,7 +180,7 @@ class SeedBlock:
     def __init__(self, metric: str, k: int, ids: pa.Array, vectors: pa.Array, exclude_self: bool):
         self.kernel = KERNELS[metric]()
         self.ids, self.id_type = id_values(ids), ids.type
-        self.seeds = self.kernel.seeds(vectors)
+        self.seeds = self.kernel.seeds(vectors) if len(self.ids) else None
         self.best = Best(len(self.ids), k)
         self.exclude_self = exclude_self
         self.row_type = None
@@ -201,6 +226,7 @@ def stream_past(metric, k, seed_ids, seed_vectors, exclude_self):
     def run(batches):
         block = SeedBlock(metric, k, seed_ids.value, seed_vectors.value, exclude_self)
         for batch in batches:
+            batch = usable(batch, metric)
             block.stream(batch.column(0), batch.column(1))
         out = block.result()
         if out is not None:
