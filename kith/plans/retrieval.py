@@ -14,11 +14,13 @@ from kith.operators import audience as A
 from kith.operators import knn as N
 from kith.operators import rerank as R
 from kith.operators import shape, vote
+from kith.operators.cells import knn_join_cells, read_cells, write_cells
 from kith.operators.embed import HashEmbedder, TokenJaccard, embed
 from kith.operators.index import project_2d
 from kith.operators.sets import attach_label
 from kith.options import KnnOptions
 from kith.plans.registry import query, table
+from kith.sources import new_folder
 
 K_VECTORS, K_PARTIES, DIM = 20, 50, 64
 
@@ -145,6 +147,13 @@ def knn_cosine_topk_partitioned(spark, sf):
     return shown(N.knn_join(v, v, K_VECTORS, KnnOptions(plan="partitioned", seed_block_rows=256)))
 
 
+@query(KNN_COSINE)
+def knn_cosine_topk_cells(spark, sf):
+    v, path = vectors(spark, sf), new_folder(spark, "cells")
+    write_cells(v, path, cells=32)
+    return shown(knn_join_cells(v, read_cells(spark, path), K_VECTORS))
+
+
 @query(f"WITH {vector_pairs('l2')} SELECT {PAIR_COLUMNS} FROM p WHERE rank <= {K_VECTORS}")
 def knn_l2_topk(spark, sf):
     v = vectors(spark, sf)
