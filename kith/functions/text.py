@@ -39,7 +39,7 @@ def row_text(columns: Sequence[str], types: dict[str, T.DataType] | None = None)
 
 def token_pairs(text: Column) -> Column:
     """The distinct ``"col: value"`` pairs of a row text, in order."""
-    return F.array_distinct(F.filter(F.split(text, PAIR_SEP), lambda p: p != ""))
+    return F.array_distinct(F.array_remove(F.split(text, PAIR_SEP), ""))
 
 
 def text_map(text: Column) -> Column:
@@ -49,7 +49,7 @@ def text_map(text: Column) -> Column:
     same key the last one wins.
     """
     pairs = F.transform(
-        F.filter(F.split(text, PAIR_SEP), lambda p: p != ""),
+        F.array_remove(F.split(text, PAIR_SEP), ""),
         lambda p: F.struct(
             F.substring_index(p, KEY_SEP, 1).alias("k"),
             F.when(F.instr(p, KEY_SEP) > 0, p.substr(F.instr(p, KEY_SEP) + 2, F.length(p))).alias("v"),

@@ -16,7 +16,8 @@ def unit_vector(col: Column) -> Column:
     """The vector divided by its length; a zero vector becomes null."""
     v = to_doubles(col)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    # The outer lambda binds the length once; named inside the inner one it is computed per element.
+    return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))[0]
 
 
 def hash_bucket(token: Column, dim: int) -> Column:

@@ -52,20 +52,21 @@ def write_cells(index: DataFrame, path: str, cells: int = 256, metric: str = "co
         for batch in batches:
             batch = kernels.usable(batch, metric, at)
             if batch.num_rows:
-                cell = N._distances(N._points(batch.column(at), metric), pivots.value).argmin(axis=1)
+                cell = kernels.distances(kernels.points(batch.column(at), metric), pivots.value).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=schema.names)
 
     (index.mapInArrow(place, schema).repartitionByRange("cell", F.xxhash64(id_col))
           .write.partitionBy("cell").parquet(f"{path}/rows"))
     stored = spark.read.parquet(f"{path}/rows").select(F.col(vector_col).alias("vec"), "cell")
-    width = N._ring_width(N._distances(points, points))
+    width = N._ring_width(kernels.distances(points, points))
     rings = N._summary(stored, pivots, metric, width, N.RINGS)
-    spark.createDataFrame(
-        [(r["cell"], r["n"], r["far"]) for r in rings], "cell int, n long, far double"
-    ).coalesce(1).write.parquet(f"{path}/summary")
-    spark.createDataFrame(
-        [(i, [float(x) for x in p], metric) for i, p in enumerate(points)],
-        "cell int, point array<double>, metric string").coalesce(1).write.parquet(f"{path}/pivots")
+    summary = pa.table({
+        "cell": pa.array([r["cell"] for r in rings], pa.int32()), "n": [r["n"] for r in rings],
+        "far": [r["far"] for r in rings]})
+    spark.createDataFrame(summary).coalesce(1).write.parquet(f"{path}/summary")
+    table = pa.table({"cell": pa.array(range(len(points)), pa.int32()), "point": list(points),
+                      "metric": [metric] * len(points)})
+    spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/pivots")
 
 
 def read_cells(spark: SparkSession, path: str) -> CellIndex:
@@ -83,7 +84,7 @@ def needed_cells(index: CellIndex, seeds: np.ndarray, need: int) -> np.ndarray:
     wanted = np.zeros(len(index.pivots), dtype=bool)
     scale = N._scale(index.pivots, index.far) + N._scale(seeds, np.zeros(1))
     for start in range(0, len(seeds), 256):
-        for d in N._distances(seeds[start:start + 256], index.pivots):
+        for d in kernels.distances(seeds[start:start + 256], index.pivots):
             near = d[index.cell]
             bound = N._widened(N._reach(near + index.far, index.count, need), scale)
             wanted[index.cell[near - index.far <= bound]] = True
@@ -103,7 +104,7 @@ def knn_join_cells(seeds: DataFrame, index: CellIndex, k: int, options: KnnOptio
     if table is None:
         return N._finish(N._partitioned(s, c, k, options), options.metric)
     if table.num_rows:
-        cells = needed_cells(index, N._points(table.column("vec"), options.metric), k + int(options.exclude_self))
+        cells = needed_cells(index, kernels.points(table.column("vec"), options.metric), k + int(options.exclude_self))
         rows = index.rows.filter(F.col("cell").isin([int(i) for i in cells]))
         c = N._vector_sides(seeds, rows, seed_id, neighbor_id, vector_col)[1]
     return N._finish(N._past_broadcast(table, s, c, k, options.metric, options), options.metric)

@@ -57,9 +57,13 @@ class TokenJaccard:
     """Shared pairs over all pairs of two row texts."""
 
     def score(self, a: Column, b: Column) -> Column:
-        x, y = token_pairs(a), token_pairs(b)
-        every = F.size(F.array_union(x, y))
-        return F.when(every > 0, F.size(F.array_intersect(x, y)) / every).otherwise(F.lit(0.0))
+        pair = F.struct(token_pairs(a).alias("x"), token_pairs(b).alias("y"))
+        # Each token list is bound once, then used for its size and for the overlap.
+        sizes = F.transform(F.array(pair), lambda p: F.struct(
+            F.size(F.array_intersect(p["x"], p["y"])).alias("both"),
+            (F.size(p["x"]) + F.size(p["y"])).alias("sum")))
+        return F.transform(sizes, lambda n: F.when(
+            n["sum"] > 0, n["both"] / (n["sum"] - n["both"])).otherwise(F.lit(0.0)))[0]
 
 
 @dataclass(frozen=True)

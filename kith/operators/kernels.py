@@ -111,18 +111,40 @@ class Overlap:
         row = np.repeat(np.arange(n_rows), sizes)
         row, code = row[code >= 0], code[code >= 0]
         count = starts[code + 1] - starts[code]
-        run = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        seed = owners[np.repeat(starts[code], count) + run]
-        shared = np.bincount(seed * n_rows + np.repeat(row, count), minlength=n_seeds * n_rows)
-        shared = shared.reshape(n_seeds, n_rows)
+        shared = np.zeros((n_seeds, n_rows), dtype=np.int64)
+        # Rows are taken in runs whose shared tokens fit in one tile.
+        step = np.cumsum(np.bincount(row, weights=count, minlength=n_rows)) // TILE_CELLS
+        for lo, hi in zip(*_runs(step)):
+            first, last = np.searchsorted(row, [lo, hi])
+            times, width = count[first:last], hi - lo
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            seed = owners[np.repeat(starts[code[first:last]], times) + within]
+            cell = seed * width + np.repeat(row[first:last] - lo, times)
+            shared[:, lo:hi] = np.bincount(cell, minlength=n_seeds * width).reshape(n_seeds, width)
         size = np.sqrt(seed_sizes.astype(float)[:, None] * sizes.astype(float)[None, :])
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(shared > 0, np.round(shared / size, DIGITS), -np.inf)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal values."""
+    change = np.nonzero(np.diff(values))[0] + 1
+    return np.concatenate([[0], change]), np.concatenate([change, [len(values)]])
+
+
 KERNELS = {"cosine": Cosine, "l2": SquaredL2, "overlap": Overlap}
 
 
+def points(column, metric: str) -> np.ndarray:
+    """Vectors in the space where the metric is a distance (the unit sphere for cosine)."""
+    return KERNELS[metric]().load(column)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d2 = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2.0 * a @ b.T
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
 class Best:
     """The k best (score desc, id asc) corpus rows of each seed seen so far."""
 

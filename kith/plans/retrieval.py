@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from kith import functions as K
 from kith.operators import audience as A
+from kith.operators import flows
 from kith.operators import knn as N
 from kith.operators import rerank as R
 from kith.operators import shape, vote
 from kith.operators.cells import knn_join_cells, read_cells, write_cells
 from kith.operators.embed import HashEmbedder, TokenJaccard, embed
-from kith.operators.index import project_2d
+from kith.operators.index import build_index, project_2d
 from kith.operators.sets import attach_label
 from kith.options import KnnOptions
 from kith.plans.registry import query, table
@@ -290,3 +291,47 @@ def bucket_budget(spark, sf):
 def knn_reranked_vote(spark, sf):
     labelled = attach_label(scored_pairs(spark, sf), corpus(spark, sf), "id", "segment")
     return vote.vote_reranked(labelled, R.rerank_depth(K_PARTIES, at_least=0))
+
+
+# -- whole flows: a table becomes a stored index, another one is matched against it -------------
+
+FEATURES = ["region", "nation", "balance"]
+
+
+def _stored(spark, sf):
+    return build_index(corpus(spark, sf).withColumn("rich", (F.col("amount") >= 9000).cast("int")),
+                       new_folder(spark, "index"), "id", features=FEATURES, meta_cols=["id", "segment", "rich"],
+                       embedder=HashEmbedder(DIM))
+
+
+FIELDS = ", ".join(f"split_part(split_part(txt, '{f}: ', 2), '; ', 1) AS {f}" for f in FEATURES)
+
+
+@query(f"""WITH {party_pairs()} SELECT DISTINCT {FIELDS}, CAST(id AS VARCHAR) AS id, segment
+           FROM c WHERE id IN (SELECT neighbor_id FROM p)""")
+def flow_audience(spark, sf):
+    return flows.find_audience(seeds(spark, sf), _stored(spark, sf), FEATURES, K_PARTIES, ["id", "segment"])
+
+
+@query(f"""WITH {scored_sql()}, b AS (SELECT DISTINCT neighbor_text AS txt, pair_score FROM (
+             SELECT neighbor_text, pair_score, row_number() OVER (PARTITION BY seed_text ORDER BY pair_score DESC, neighbor_text) AS r
+             FROM (SELECT DISTINCT seed_text, neighbor_text, pair_score FROM q)) WHERE r <= {R.rerank_depth(K_PARTIES)})
+           SELECT {FIELDS}, round(pair_score, 6) AS score FROM b""")
+def flow_reranked(spark, sf):
+    return shown(flows.find_reranked(seeds(spark, sf), _stored(spark, sf), FEATURES, K_PARTIES, TokenJaccard()))
+
+
+@query(f"""WITH {party_pairs()}, v AS (SELECT seed_id, segment, count(*) AS n, min(rank) AS nearest
+             FROM p JOIN c ON c.id = neighbor_id GROUP BY 1, 2)
+           SELECT seed_id AS id, segment AS predicted FROM (SELECT *, row_number() OVER (
+             PARTITION BY seed_id ORDER BY n DESC, nearest) AS o FROM v) WHERE o = 1""")
+def flow_classify(spark, sf):
+    got = flows.classify(seeds(spark, sf), _stored(spark, sf), FEATURES, K_PARTIES, "segment")
+    return got.select("id", "predicted")
+
+
+@query(f"""WITH {party_pairs()} SELECT seed_id AS id, max(CAST(amount >= 9000 AS INTEGER)) AS predicted
+           FROM p JOIN c ON c.id = neighbor_id GROUP BY 1""")
+def flow_spread_label(spark, sf):
+    got = flows.spread_label(seeds(spark, sf), _stored(spark, sf), FEATURES, K_PARTIES, "rich")
+    return got.select("id", "predicted")

@@ -189,3 +189,14 @@ def test_plan_cuts_before_the_shuffle_and_embeds_once(spark):
     plan = N.knn_join(df, df, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count("md5(") == 1
+
+
+def test_overlap_tile_runs_give_the_same_scores(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    column = lambda n: pa.array([[f"t{t}" for t in set(rng.integers(9, size=4))] for _ in range(n)])
+    kernel, seeds, corpus = kernels.Overlap(), column(12), column(50)
+    whole = kernel.scores(kernel.seeds(seeds), kernel.load(corpus))
+    monkeypatch.setattr(kernels, "TILE_CELLS", 7)
+    assert np.array_equal(whole, kernel.scores(kernel.seeds(seeds), kernel.load(corpus)))
