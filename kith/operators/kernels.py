@@ -145,6 +145,20 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d2, 0.0))
 
 
+def bucket_keys(vectors: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
+    """One key per row and table from its bucket numbers along the table's directions.
+
+    Two bucket tuples that mix to one key only add candidates.
+    """
+    numbers = np.floor(vectors @ planes).astype(np.int64).reshape(len(vectors), tables, -1)
+    mixed = np.zeros((len(vectors), tables), dtype=np.uint64)
+    mixed += np.arange(1, tables + 1, dtype=np.uint64)
+    for j in range(numbers.shape[2]):
+        mixed = (mixed ^ numbers[:, :, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.astype(np.int64)
+
+
 class Best:
     """The k best (score desc, id asc) corpus rows of each seed seen so far."""
 

@@ -177,6 +177,12 @@ def test_approximate_join_recall_and_completeness(spark):
     found = rows(got)
     assert len(found) == 300  # nobody is left with fewer than k
     assert len(exact & {r[:2] for r in found}) / len(exact) >= 0.8
+    usual = rows(N.knn_join_approx(s, c, 10))
+    assert len(usual) == 300 and len(exact & {r[:2] for r in usual}) / len(exact) >= 0.8
+    wide = rows(N.knn_join_approx(s, c, 10, KnnOptions("l2"), bucket=2.0, hashes=1))
+    assert len({r[:2] for r in rows(N.knn_join(s, c, 10, KnnOptions("l2")))} & {r[:2] for r in wide}) >= 240
+    with pytest.raises(ValueError):
+        N.knn_join_approx(s, c, 10, KnnOptions("l2"))
     narrow = rows(N.knn_join_approx(s, c, 10, bucket=0.001, hashes=4))
     assert {r[:2] for r in narrow} == exact  # hardly any candidates: the exact join serves the rest
 
