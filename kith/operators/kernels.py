@@ -165,7 +165,7 @@ class Best:
     def __init__(self, n_seeds: int, k: int):
         self.k, self.n = k, n_seeds
         self.floor = np.full(n_seeds, -np.inf)  # score and id of each seed's k-th best
-        self.floor_id = None
+        self.floor_id = self.last_id = None
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows, self.limit = 0, max(2 * n_seeds * k, 200_000)
 
@@ -175,7 +175,7 @@ class Best:
         mask = scores > self.floor[:, None]
         if self.floor_id is None:
             mask |= scores == self.floor[:, None]
-        elif ids[0] < self.floor_id.max():  # an equal score gets in by a smaller id only
+        elif ids[0] < self.last_id:  # an equal score gets in by a smaller id only
             mask |= (scores == self.floor[:, None]) & (ids[None, :] < self.floor_id[:, None])
         if n > k and np.count_nonzero(mask) > 2 * self.n * k:
             kth = np.partition(scores, n - k, axis=1)[:, n - k]
@@ -205,6 +205,7 @@ class Best:
             if self.floor_id is not None:
                 self.floor_id = self.floor_id.astype(np.promote_types(self.floor_id.dtype, ids.dtype))
                 self.floor_id[seed[last]] = ids[last]
+                self.last_id = np.sort(self.floor_id)[-1]
         kept = (seed[keep], score[keep], ids[keep])
         self.parts, self.rows = [kept], int(keep.sum())
         return kept

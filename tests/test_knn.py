@@ -71,6 +71,30 @@ def test_k_beyond_the_corpus_and_string_ids(spark, plan):
     assert rows(got) == brute(seeds, corpus, 10, "cosine", seed_ids=["s1", "s2", "s3"], ids=["ä", "b", "c"])
 
 
+@pytest.mark.parametrize("plan", PLANS)
+def test_string_ids_in_a_large_corpus(spark, clustered, plan):
+    corpus, seeds = clustered
+    ids = [f"é{i * 7919 % 150}" for i in range(150)]
+    got = N.knn_join(frame(spark, seeds), frame(spark, corpus, ids), 4, KnnOptions(**plan))
+    assert rows(got) == brute(seeds, corpus, 4, "cosine", ids=ids)
+
+
+def test_string_ids_over_many_tiles(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(kernels, "TILE_CELLS", 60)
+    rng = np.random.default_rng(2)
+    seeds, corpus = rng.integers(-2, 3, size=(6, 4)), rng.integers(-2, 3, size=(300, 4))
+    ids = [f"r{i * 7919 % 1000}" for i in range(300)]
+    column = lambda v: pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32()))
+    block = kernels.SeedBlock("l2", 3, pa.array(range(6)), column(seeds), False)
+    block.best.limit = 5
+    for i in range(0, 300, 50):
+        block.stream(pa.array(ids[i:i + 50]), column(corpus[i:i + 50]))
+    got = block.result().to_pandas()
+    assert set(zip(got.seed_id, got.neighbor_id)) == {r[:2] for r in brute(seeds, corpus, 3, "l2", ids=ids)}
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_rows_without_direction_are_left_out(spark, plan):
     corpus = [[1, 0], None, [0, 0], [0, 1]]
