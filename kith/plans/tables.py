@@ -68,7 +68,7 @@ def sink_csv_roundtrip(spark, sf):
 
 
 @query("""SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS question, text AS answer, role AS steps,
-          strftime(to_timestamp(1704067200 + conv_id * 3600 + turn), '%Y-%m-%d') AS day
+          strftime(make_timestamp((1704067200 + conv_id * 3600 + turn) * 1000000), '%Y-%m-%d') AS day
           FROM conversations WHERE role IN ('user', 'assistant')""")
 def sink_log_append(spark, sf):
     path = new_folder(spark, "log")
