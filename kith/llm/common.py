@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +32,28 @@ def hash60(*parts) -> Column:
     """A hash of 60 bits that other engines can also compute: the head of an MD5."""
     text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def once(key: tuple, make):
+    """``make()``, kept for the life of a worker process.
+
+    Task functions travel by value and bring new module globals with each task, so the object hangs on the interpreter.
+    """
+    kept = sys.modules.setdefault("kith_worker", types.ModuleType("kith_worker")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most about SLICE_BYTES bytes of text, a row at least."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + SLICE_BYTES, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kith.llm import chat, mixing, quality
+from kith.llm import chat, mixing, quality, records, sentencepiece
 from kith.llm.common import documents
 from kith.llm.oracles import chat_sql, mixing_sql, quality_sql
 
@@ -43,3 +44,20 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, folder))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, and whether they decode to its text (a literal space mark comes back as a space)."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece.encode(documents(spark, folder).select("doc_id", "text"), model, keep_text=True)
+    given = F.translate(F.coalesce("text", F.lit("")), sentencepiece.SPACE, " ").alias("given")
+    back = sentencepiece.decode(coded.select("doc_id", "ids", given), model, text="decoded", keep_ids=True)
+    return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", (F.col("decoded") == F.col("given")).alias("round_trip"))
+
+
+@query()
+def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    opts = records.RecordOptions(tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+    _, index = records.store(documents(spark, folder).select("doc_id", "text"), opts)
+    return records.read_index(spark, index).select("doc_id", "start", "n_tokens", "ids_crc32")
