@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kith.llm import chat, mixing, quality, records, sentencepiece
+from kith.llm import chat, jaccard, mixing, quality, records, sentencepiece
 from kith.llm.common import documents
 from kith.llm.oracles import chat_sql, mixing_sql, quality_sql
 
@@ -61,3 +61,8 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     opts = records.RecordOptions(tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
     _, index = records.store(documents(spark, folder).select("doc_id", "text"), opts)
     return records.read_index(spark, index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(documents(spark, folder).select("doc_id", "text"))
