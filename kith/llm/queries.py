@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kith.llm import chat, jaccard, mixing, quality, records, sentencepiece
+from kith.llm import chat, jaccard, mixing, pii, quality, records, sentencepiece
 from kith.llm.common import documents
 from kith.llm.oracles import chat_sql, mixing_sql, quality_sql
 
@@ -66,3 +66,8 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(documents(spark, folder).select("doc_id", "text"))
+
+
+@query()
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.spans(documents(spark, folder), ["doc_id"]))
