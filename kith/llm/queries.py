@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kith.llm import chat, jaccard, mixing, pii, quality, records, sentencepiece
+from kith.llm import chat, html_extract, jaccard, mixing, pii, quality, records, sentencepiece
 from kith.llm.common import documents
 from kith.llm.oracles import chat_sql, mixing_sql, quality_sql
 
@@ -71,3 +71,10 @@ def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digests(pii.spans(documents(spark, folder), ["doc_id"]))
+
+
+@query()
+def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    pages = documents(spark, folder, "pages").select("page_id", "url", "html")
+    texts = html_extract.extract(pages, html_extract.fit(pages))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
