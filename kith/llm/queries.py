@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kith.llm import chat, html_extract, jaccard, mixing, pii, quality, records, sentencepiece
+from kith.llm import chat, html_extract, jaccard, mixing, multi_index, pii, quality, records, sentencepiece
 from kith.llm.common import documents
 from kith.llm.oracles import chat_sql, mixing_sql, quality_sql
 
@@ -78,3 +78,9 @@ def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     pages = documents(spark, folder, "pages").select("page_id", "url", "html")
     texts = html_extract.extract(pages, html_extract.fit(pages))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op8_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = documents(spark, folder, "embeddings").select("vec_id", "embedding")
+    return multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding")
