@@ -127,3 +127,15 @@ patterns AS (SELECT votes, count(*) AS n FROM v GROUP BY votes),
 final AS (SELECT votes, {posterior(f'e{rounds}')} AS p FROM patterns, e{rounds})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept
 FROM v JOIN final USING (votes)"""
+
+
+def sharding_sql(limit: int) -> str:
+    """The definition itself: the shortest prefix of a row's hash whose rows fit, tried depth by depth."""
+    return f"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    {hash60_sql('doc_id', "md5(coalesce(text, ''))")} AS h FROM documents),
+t AS (SELECT *, unnest(range(0, 61)) AS depth FROM d),
+p AS (SELECT *, h >> (60 - depth) AS bits, CAST(sum(n_bytes) OVER (PARTITION BY depth, h >> (60 - depth)) AS BIGINT) AS bytes FROM t)
+SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, bits, 0 AS chain
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS r FROM p WHERE bytes <= {limit}) WHERE r = 1"""

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kith.llm import chat, html_extract, jaccard, mixing, multi_index, pii, quality, records, sentencepiece
+from kith.llm import chat, html_extract, jaccard, mixing, multi_index, pii, quality, records, sentencepiece, sharding
 from kith.llm.common import documents
-from kith.llm.oracles import chat_sql, mixing_sql, quality_sql
+from kith.llm.oracles import chat_sql, mixing_sql, quality_sql, sharding_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -84,3 +84,8 @@ def op4_html_extract(spark: SparkSession, folder: str) -> DataFrame:
 def op8_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     vectors = documents(spark, folder, "embeddings").select("vec_id", "embedding")
     return multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+@query(sharding_sql(sharding.ShardOptions().limit))
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(documents(spark, folder))
