@@ -150,9 +150,15 @@ def posteriors(voted: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 def judge(voted: DataFrame, table: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Add ``posterior`` and ``kept``. The table is bounded by the number of rules, so it is broadcast."""
-    return (voted.join(F.broadcast(table), "votes", "left")
-            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)))
+    """Add ``posterior`` and ``kept``. The table is bounded by the number of rules, so it is broadcast.
+
+    Both come from the table: a filter on ``kept`` that named the statistics would be pushed below them and compute them anew in each lambda.
+    """
+    both = table.select(
+        F.explode(F.array(*[F.struct(F.concat("votes", F.lit(mark)).alias("key"), F.col("posterior"),
+                                     (F.lit(mark == "0") & (F.col("posterior") >= threshold)).alias("kept")) for mark in "01"])).alias("t")).select("t.*")
+    key = F.concat("votes", F.when(F.col("base_failed"), "1").otherwise("0"))
+    return voted.withColumn("key", key).join(F.broadcast(both), "key").drop("key")
 
 
 def quality_rules(df: DataFrame, text: str = "text", rounds: int = 10, threshold: float = 0.5) -> DataFrame:
