@@ -103,8 +103,8 @@ def windows(turns: DataFrame, opts: ChatOptions = ChatOptions()) -> DataFrame:
         F.array_sort(F.collect_list(turn)).alias("turns"),
         F.max(F.when(F.col("kind") == 0, F.col("i"))).alias("system"),
         F.min(F.when(F.col("kind") == 2, F.col("i"))).alias("from"))
-    # Sorted by place, a repetition of the system turn stands directly before its other copy.
-    once = F.filter("turns", lambda t, k: (k == 0) | (F.get(F.col("turns"), k - 1)["i"] != t["i"]))
+    # Copies of a turn are neighbours when sorted by place, and a new one is the last of them.
+    once = F.filter("turns", lambda t, k: (k == F.size("turns") - 1) | (F.get(F.col("turns"), k + 1)["i"] != t["i"]))
     placed = grouped.withColumn("turns", once)
     ordered = F.concat(F.filter("turns", lambda t: (t["i"] == F.col("system")) & ~t["new"]),
                        F.filter("turns", lambda t: (F.col("system").isNull() | (t["i"] != F.col("system"))) & ~t["new"]),
@@ -128,7 +128,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """``(conv_id, window, turns, targets, n_chars)`` of each window: its new turns (role, text) and the masked texts, unescaped."""
     pieces = F.split("formatted", END)
     new = F.slice(pieces, F.col("first_new") + 1, F.size(pieces) - 1 - F.col("first_new"))
-    colon = lambda p: F.locate(": ", p)
     parts = F.transform(new, lambda p: F.struct(
         unescape(F.substring(p, F.lit(5), F.instr(p, F.lit(": ")) - 5)).alias("role"),
         unescape(F.substring(p, F.instr(p, F.lit(": ")) + 2, F.length(p))).alias("text")))

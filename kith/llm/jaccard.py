@@ -101,7 +101,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             cut = ends[-1] if len(ends) == differ + 2 else n
             starts = starts[:differ + 1]
             total = np.add.reduceat(mixed[:cut], starts)
-            out.append(mix(total + part[starts] * _M2 + np.uint64(i + 1) * _M1))
+            out.append(mix(total + part[starts] * _M2 + np.uint64((i + 1) * int(_M1) % (1 << 64))))
         if (last + 1) * percent > 100 * n:
             break
         i, last = i + 1, max(last + 2, (last + 1) * 3 // 2) - 1
