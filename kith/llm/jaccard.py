@@ -9,7 +9,8 @@
    copies costs as many pairs as it has members. Pairs are verified on whole texts.
 4. Where a star's pair fails and its ends aren't in one component yet, the members of that signature are joined by signature trees:
    nodes hold OR-combined token bitmaps and size ranges; a dual traversal drops node pairs of one component and those whose
-   largest possible overlap is too small, and verifies what is left. Large memberships are cut into blocks and pairs of blocks.
+   largest possible overlap is too small, and verifies what is left. Signatures with common members are joined as one family while it
+   fits a tree, else one by one; large memberships are cut into blocks and pairs of blocks.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts with fewer words than a shingle are one
 shingle; rows without doc_id link with nothing and have no component; rows that share a doc_id share their links;
@@ -282,15 +283,25 @@ def tree_links(stars_: DataFrame, checked: DataFrame, labels: DataFrame, df: Dat
                .join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
                .select("sig", "doc_id", F.coalesce("component", "doc_id").alias("label")))
     members = materialize(members, "members")
-    # Signatures with the same members are joined once. Two members were a star's pair.
-    sizes = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(38,0)")).alias("y"))
-    sizes = sizes.filter("n > 2").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")) \
-        .select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    units = (members.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("blocks")).cast("int"))
+    # Two members were a star's pair. Signatures that share members form a family, and one that fits a tree is joined once.
+    sizes = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
+    sizes = materialize(sizes.filter("n > 2"), "sizes")
+    members = members.join(sizes, "sig")
+    kin = components(members.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
+    placed = materialize(members.join(kin.withColumnRenamed("id", "doc_id"), "doc_id"), "placed")
+    each = placed.select("component", "doc_id", "label").distinct()
+    families = each.groupBy("component").agg(F.count("*").alias("m"))
+    small = each.join(families.filter(F.col("m") <= block), "component").select(F.col("component").alias("sig"), "doc_id", "label", F.lit(1).alias("blocks"))
+    # Larger families are joined signature by signature, those with the same members once.
+    large = placed.join(families.filter(F.col("m") > block), "component")
+    chosen = large.groupBy("n", "least", "x").agg(F.min("sig").alias("sig")).select("sig")
+    large = large.join(chosen, "sig", "left_semi").select("sig", "doc_id", "label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    units = (small.unionByName(large).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label"))
-    rows = units.join(df.select(F.col("doc_id").cast("long"), "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    rows = rows.select("sig", "i", "j", "own", "doc_id", "label", "text").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+             .select("sig", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label"))
+    rows = units.join(df.select(F.col("doc_id").cast("long"), "text").join(placed.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    rows = rows.select(F.xxhash64("sig", "blocks").alias("unit"), "i", "j", "own", "doc_id", "label", "text") \
+        .repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
 
     def unit(held):
         bits = 64

@@ -13,8 +13,8 @@ where masked is ``rotate_right(crc, 15) + 0xa282ead8``. Spark's own writer puts
 with its commit protocol, so lost executors and repeated tasks leave no half files. The index (Parquet: file, doc_id, offset, length, n_tokens,
 before) lets records be read in any order.
 
-Texts are cut at single spaces: byte-level pre-tokens begin there, so the words between can be encoded once and kept in a
-bounded memo. Texts with two white-space characters in a row or with a special token are encoded whole.
+Texts are cut at single spaces, line breaks and between letters and marks: byte-level pre-tokens end there, so what lies between can be
+encoded once and kept in a bounded memo. Texts with two white-space characters in a row or with a special token are encoded whole.
 
 Defined cases: null texts are empty, so their record has the end id alone; equal doc_ids are ordered by their text's hash;
 rows without doc_id come first; other columns are left out; an empty table gives no records.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +37,8 @@ from pyspark.sql.window import Window as W
 from kith.llm.common import once, slices
 from kith.sources.workspace import new_folder
 
-MEMO = 500_000
+MEMO = 300_000
+_MARKS = ".,!?;:#*$%&|"
 
 
 @dataclass(frozen=True)
@@ -61,11 +63,33 @@ class WordEncoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo, self.words = memo, {}
+        self.code, self.memo, self.words = "I" if self.wide else "H", memo, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        out = []
+        for start in range(0, len(texts), 4096):  # the library's results are large
+            found = self.tokenizer.encode_batch_fast(texts[start:start + 4096], add_special_tokens=False)
+            out += [array(self.code, e.ids).tobytes() for e in found]
+        return out
+
+    @staticmethod
+    def _cut(word: str) -> list[str]:
+        """The parts of a word that pre-tokens don't cross, each with the space before it, if any; a first word is marked by a line break."""
+        lead, out = " ", []
+        if word[:1] == "\n":
+            lead, word = "", word[1:]
+        for k, line in enumerate(word.split("\n")):
+            if k:
+                out.append("\n")
+                lead = ""
+            letters = line.rstrip(_MARKS)
+            if letters.isalpha():
+                out.append(lead + letters)
+                if len(letters) < len(line):
+                    out.append(line[len(letters):])
+            elif lead or line:
+                out.append(lead + line)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -81,15 +105,28 @@ class WordEncoder:
                 wanted.update(words)
         for k, found in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = found
-        missing = list(wanted.difference(self.words))
-        if len(self.words) + len(missing) > self.memo:
+        # Words of letters, which follow a space, are kept under their letters, other parts under a space and their text; what
+        # is put together from parts serves this batch only.
+        if len(self.words) > self.memo:
             self.words = {}
-            missing = list(wanted)
-        memo = self.words
-        # A first word is marked by a line break; so is a word after a space and a line break, but such texts are encoded whole.
-        memo.update(zip(missing, self._encode([w[1:] if w[:1] == "\n" else " " + w for w in missing])))
+        memo, cut, new = self.words, {}, set()
+        for w in wanted.difference(memo):
+            if w.isalpha():
+                new.add(w)
+                continue
+            letters = w.rstrip(_MARKS)
+            if letters.isalpha():
+                parts = (letters, " " + w[len(letters):])
+            else:
+                parts = [p[1:] if p[:1] == " " and p[1:].isalpha() else " " + p for p in self._cut(w)]
+            cut[w] = parts
+            new.update(parts)
+        new = list(new.difference(memo))
+        memo.update(zip(new, self._encode([" " + p if p.isalpha() else p[1:] for p in new])))
+        joined = {w: b"".join([memo[p] for p in parts]) for w, parts in cut.items()}
+        joined.update((w, memo[w]) for w in wanted.difference(joined))
         for k, words in split.items():
-            out[k] = b"".join(map(memo.__getitem__, words))
+            out[k] = b"".join(map(joined.__getitem__, words))
         return out
 
 
