@@ -27,7 +27,8 @@ def hash_bucket(token: Column, dim: int) -> Column:
 
 def hash_vector(text: Column, dim: int) -> Column:
     """Row text as a count vector: each ``"col: value"`` pair adds one to its bucket."""
-    buckets = F.transform(F.split(text, TOKEN_SEP), lambda t: hash_bucket(t, dim))
+    tokens = F.filter(F.split(text, TOKEN_SEP), lambda t: t != "")  # an empty text has no pair
+    buckets = F.transform(tokens, lambda t: hash_bucket(t, dim))
     return F.aggregate(
         buckets,
         F.array_repeat(F.lit(0.0).cast("float"), dim),

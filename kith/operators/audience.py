@@ -39,12 +39,12 @@ def audience(knn: DataFrame, corpus: DataFrame, fields: Sequence[str], neighbor_
 
 def propagate_max(seeds: DataFrame, labelled: DataFrame, label: str = "label", seed_id: str = "id",
                   name: str = "predicted", keep_label: bool = True) -> DataFrame:
-    """Each seed row with the largest label among its neighbours, as a set of rows.
+    """Each seed row with the largest label among its neighbours (null without any), as a set of rows.
 
     ``labelled`` is a retrieval that carries the neighbours' label.
     """
     best = labelled.groupBy(F.col("seed_id").alias(seed_id)).agg(F.max(label).alias(name))
-    out = seeds.join(best, seed_id).distinct()
+    out = seeds.join(best, seed_id, "left").distinct()
     return out if keep_label else out.drop(name)
 
 
@@ -86,8 +86,8 @@ def audience_score(knn: DataFrame) -> DataFrame:
 
 
 def bucket_budget(members: DataFrame, bucket: str, amount: str) -> DataFrame:
-    """Per bucket: members, and the mean and total of an amount with two decimals."""
+    """Per bucket: members, and the mean and total of an amount, added as decimals with nine places."""
     hits = F.count(F.lit(1))
-    total = F.sum(F.col(amount).cast(T.DecimalType(18, 2))).cast("double")
+    total = F.sum(_exact(F.col(amount))).cast("double")
     return members.groupBy(bucket).agg(
         hits.alias("n"), (total / F.count(amount)).alias("mean_amount"), total.alias("total_amount"))

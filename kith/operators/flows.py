@@ -69,4 +69,4 @@ def spread_label(seeds: DataFrame, index: DataFrame, features: Sequence[str], k:
 
 def _with_predicted(seeds, features, per_text):
     texts = row_as_text(seeds, features, name="__text")
-    return texts.join(per_text.withColumnRenamed("seed_id", "__text"), "__text").drop("__text")
+    return texts.join(per_text.withColumnRenamed("seed_id", "__text"), "__text", "left").drop("__text")

@@ -31,13 +31,16 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(batch, metric: str, at: int = 1):
-    """A batch without the rows whose vector is null (or, for cosine, zero: it has no direction)."""
+    """A batch without the rows whose vector is null or has a null, NaN or infinite element (or, for cosine, is zero: it has no direction)."""
     column = batch.column(at)
     if column.null_count:
         batch = batch.filter(pc.is_valid(column))
         column = batch.column(at)
-    if metric == "cosine" and batch.num_rows:
-        some = np.any(matrix(column) != 0, axis=1)
+    if metric != "overlap" and batch.num_rows:
+        m = matrix(column)
+        some = np.isfinite(m).all(axis=1)
+        if metric == "cosine":
+            some &= np.any(m != 0, axis=1)
         if not some.all():
             batch = batch.filter(pa.array(some))
     return batch
@@ -46,7 +49,11 @@ def usable(batch, metric: str, at: int = 1):
 def id_values(column: pa.Array) -> np.ndarray:
     if pa.types.is_integer(column.type):
         return column.to_numpy(zero_copy_only=False)
-    return np.array(column.to_pylist(), dtype=str)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return np.array(column.to_pylist(), dtype=str)
+    values = np.empty(len(column), object)  # decimals, dates, doubles: ordered by value, as Spark orders them
+    values[:] = column.to_pylist()
+    return values
 
 
 def id_column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -61,25 +68,40 @@ class Cosine:
 
     seeds = load
 
-    def scores(self, seeds, rows):
+    def scores(self, seeds, rows, keep):
         return np.round(seeds @ rows.T, DIGITS) + 0.0
 
 
 class SquaredL2:
+    """Squared distances. The matrix product only says which rows may be among the best; these are computed from the differences."""
+
     def load(self, column):
         return matrix(column)
 
     def seeds(self, column):
         m = matrix(column)
         shift = m.mean(axis=0)  # distances do not change, cancellation shrinks
-        m = m - shift
-        return m, shift, np.einsum("ij,ij->i", m, m)
+        given, m = m, m - shift
+        return given, m, shift, np.einsum("ij,ij->i", m, m)
 
-    def scores(self, seeds, rows):
-        m, shift, m2 = seeds
+    def scores(self, seeds, rows, keep):
+        given, m, shift, m2 = seeds
         r = rows - shift
-        d2 = m2[:, None] + np.einsum("ij,ij->i", r, r)[None, :] - 2.0 * (m @ r.T)
-        return -(np.round(np.maximum(d2, 0.0), DIGITS) + 0.0)
+        size = m2[:, None] + np.einsum("ij,ij->i", r, r)[None, :]
+        d2 = size - 2.0 * (m @ r.T)
+        error = size * (4e-16 * (m.shape[1] + 4)) + 10.0 ** -DIGITS
+        if keep < len(rows):
+            bound = np.partition(d2 + error, keep - 1, axis=1)[:, keep - 1]
+            near = d2 - error <= bound[:, None]
+        else:
+            near = np.ones(d2.shape, bool)
+        out = np.full(d2.shape, -np.inf)
+        seed, row = np.nonzero(near)
+        step = max(1, TILE_CELLS // max(1, m.shape[1]))
+        for at in range(0, len(seed), step):
+            i, j = seed[at:at + step], row[at:at + step]
+            out[i, j] = -(np.round(((given[i] - rows[j]) ** 2).sum(axis=1), DIGITS) + 0.0)
+        return out
 
 
 class Overlap:
@@ -103,7 +125,7 @@ class Overlap:
         edge = np.concatenate([[0], np.cumsum(sizes)])
         return tokens[edge[start]:edge[stop]], sizes[start:stop]
 
-    def scores(self, seeds, rows):
+    def scores(self, seeds, rows, keep):
         seed_sizes, words, owners, starts = seeds
         tokens, sizes = rows
         n_seeds, n_rows = len(seed_sizes), len(sizes)
@@ -141,7 +163,16 @@ def points(column, metric: str) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2.0 * a @ b.T
+    """Distances of all pairs; those that are small beside the vectors, where the product cancels, come from the differences."""
+    shift = b.mean(axis=0) if len(b) else 0.0
+    x, y = a - shift, b - shift
+    size = (x ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :]
+    d2 = size - 2.0 * x @ y.T
+    i, j = np.nonzero(d2 < 1e-2 * size)
+    step = max(1, TILE_CELLS // max(1, a.shape[1]))
+    for at in range(0, len(i), step):
+        p, q = i[at:at + step], j[at:at + step]
+        d2[p, q] = ((a[p] - b[q]) ** 2).sum(1)
     return np.sqrt(np.maximum(d2, 0.0))
 
 
@@ -237,9 +268,12 @@ class SeedBlock:
         for start in range(0, len(values), step):
             stop = min(start + step, len(values))
             tile = rows[start:stop] if isinstance(rows, np.ndarray) else self.kernel.take(rows, start, stop)
-            scores = self.kernel.scores(self.seeds, tile)
+            ids = values[start:stop]
+            # Rows with a seed's own id may be dropped after scoring, so as many more are kept.
+            own = int(np.bincount(np.unique(ids, return_inverse=True)[1]).max()) if self.exclude_self else 0
+            scores = self.kernel.scores(self.seeds, tile, self.best.k + own)
             if self.exclude_self:
-                self._drop_self(scores, values[start:stop])
+                self._drop_self(scores, ids)
             self.best.offer(scores, values[start:stop])
 
     def _drop_self(self, scores, ids):

@@ -36,7 +36,7 @@ def profile(df: DataFrame, id_col: str, flag: Column, group: Column, tenure: str
     return df.agg(
         F.count_if(flag).alias("n_flagged"), F.count_if(group).alias("n_group"),
         longest.alias("longest_months"),
-        F.min_by(id_col, F.struct(-F.col(tenure), F.col(id_col))).alias("longest_id"),
+        F.min_by(id_col, F.when(F.col(tenure).isNotNull(), F.struct(-F.col(tenure), F.col(id_col)))).alias("longest_id"),
         F.floor(longest / 12).alias("longest_years"))
 
 
@@ -46,6 +46,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_sum(df: DataFrame, by: Sequence[str], amount: str, scale: int = 2) -> DataFrame:
-    total = F.sum(F.col(amount).cast(T.DecimalType(18, scale))).cast("double")
+def group_sum(df: DataFrame, by: Sequence[str], amount: str) -> DataFrame:
+    """Totals by group, added as decimals with nine places, so their order doesn't matter and no cents are cut."""
+    total = F.sum(F.col(amount).cast(T.DecimalType(28, 9))).cast("double")
     return df.groupBy(*by).agg(total.alias("total"), F.count(F.lit(1)).alias("n"))

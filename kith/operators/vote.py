@@ -11,12 +11,13 @@ from kith.operators.topk import top_per_group
 def vote(labelled: DataFrame, label: str = "label", name: str = "predicted") -> DataFrame:
     """The most frequent neighbour label per seed; equal counts go to the label met first.
 
-    ``labelled`` is a retrieval ``(seed_id, rank, ...)`` with the neighbours' label.
+    ``labelled`` is a retrieval ``(seed_id, rank, ...)`` with the neighbours' label. Neighbours without a
+    label don't vote; a seed that has none with a label gets null.
     """
     per_label = labelled.groupBy("seed_id", label).agg(
         F.count(F.lit(1)).alias("n"), F.min("rank").alias("nearest"))
-    return per_label.groupBy("seed_id").agg(
-        F.max_by(label, F.struct("n", -F.col("nearest"))).alias(name))
+    voting = F.when(F.col(label).isNotNull(), F.struct("n", -F.col("nearest")))
+    return per_label.groupBy("seed_id").agg(F.max_by(label, voting).alias(name))
 
 
 def vote_reranked(scored: DataFrame, top_m: int, label: str = "label", score_col: str = "pair_score",

@@ -69,15 +69,17 @@ def sink_csv_roundtrip(spark, sf):
 
 @query("""SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS question, text AS answer, role AS steps,
           strftime(make_timestamp((1704067200 + conv_id * 3600 + turn) * 1000000), '%Y-%m-%d') AS day
-          FROM conversations WHERE role IN ('user', 'assistant')""")
+          FROM conversations""")
 def sink_log_append(spark, sf):
     path = new_folder(spark, "log")
-    records = table(spark, sf, "conversations").select(
+    given = table(spark, sf, "conversations")
+    fields = [
         F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn")).alias("ts"),
         F.concat_ws("/", "conv_id", "turn").alias("question"), F.col("text").alias("answer"),
-        F.col("role").alias("steps"))
-    for role in ("user", "assistant"):
-        append_log(records.filter(F.col("steps") == role), path)
+        F.col("role").alias("steps")]
+    even = F.col("conv_id") % 2 == 0
+    for part in (even, ~even):
+        append_log(given.filter(part).select(*fields), path)
     schema = "ts timestamp, question string, answer string, steps string, day date"
     return read_table(spark, path, "json", schema).select(
         "question", "answer", "steps", F.date_format("day", "yyyy-MM-dd").alias("day"))

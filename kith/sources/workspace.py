@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local($|\[)", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="kith-")
     return _local_root

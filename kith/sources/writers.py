@@ -7,18 +7,14 @@ from pyspark.sql import functions as F
 
 from kith.functions.scalars import metadata_map
 
-SINGLE_FILE_ROWS = 100_000
 
+def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "errorifexists") -> None:
+    """CSV with header and no index column, written by all tasks in parallel parts, each with its header.
 
-def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "errorifexists",
-              single_rows: int = SINGLE_FILE_ROWS) -> None:
-    """CSV with header and no index column, written by all tasks.
-
-    ``single`` asks for one file. It is granted up to ``single_rows`` rows; a larger result stays
-    in parallel parts, each with its header.
+    With ``single`` one task writes one file, however large the result is: the caller knows its size.
     """
-    if single and len(df.select(F.lit(1)).take(single_rows + 1)) <= single_rows:
-        df = df.coalesce(1)
+    if single:
+        df = df.repartition(1)
     df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
 
 
@@ -27,10 +23,11 @@ def result_path(folder: str, stem: str | None = None) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
-def write_result(df: DataFrame, folder: str, stem: str | None = None, mode: str = "errorifexists") -> str:
-    """Write a result as ``<input stem>_output.csv`` (``output.csv`` without a stem)."""
+def write_result(df: DataFrame, folder: str, stem: str | None = None, mode: str = "errorifexists",
+                 single: bool = False) -> str:
+    """Write a result as ``<input stem>_output.csv`` (``output.csv`` without a stem), in parallel parts unless ``single``."""
     path = result_path(folder, stem)
-    write_csv(df, path, single=True, mode=mode)
+    write_csv(df, path, single=single, mode=mode)
     return path
 
 

@@ -197,18 +197,19 @@ def test_approximate_join_recall_and_completeness(spark):
     corpus = centers[rng.integers(6, size=300)] + 0.2 * rng.normal(size=(300, 16))
     c, s = frame(spark, corpus), frame(spark, corpus[:30])
     exact = {r[:2] for r in rows(N.knn_join(s, c, 10))}
-    got = N.knn_join_approx(s, c, 10, bucket=0.5, hashes=2)
-    found = rows(got)
-    assert len(found) == 300  # nobody is left with fewer than k
+    found = rows(N.knn_join_approx(s, c, 10, bucket=0.5, hashes=2))
+    assert len(rows(N.knn_join_approx(s, c, 10, bucket=0.5, hashes=2, complete="exact"))) == 300  # nobody is left with fewer than k
     assert len(exact & {r[:2] for r in found}) / len(exact) >= 0.8
-    usual = rows(N.knn_join_approx(s, c, 10))
-    assert len(usual) == 300 and len(exact & {r[:2] for r in usual}) / len(exact) >= 0.8
+    usual = rows(N.knn_join_approx(s, c, 10, complete="exact"))
+    assert len(usual) <= 300 and len(exact & {r[:2] for r in usual}) / len(exact) >= 0.8
     wide = rows(N.knn_join_approx(s, c, 10, KnnOptions("l2"), bucket=2.0, hashes=1))
     assert len({r[:2] for r in rows(N.knn_join(s, c, 10, KnnOptions("l2")))} & {r[:2] for r in wide}) >= 240
     with pytest.raises(ValueError):
         N.knn_join_approx(s, c, 10, KnnOptions("l2"))
     narrow = rows(N.knn_join_approx(s, c, 10, bucket=0.001, hashes=4))
-    assert {r[:2] for r in narrow} == exact  # hardly any candidates: the exact join serves the rest
+    assert {r[:2] for r in narrow} <= {(i, i) for i in range(30)}  # hardly any candidates but a row itself
+    narrow = rows(N.knn_join_approx(s, c, 10, bucket=0.001, hashes=4, complete="exact"))
+    assert {r[:2] for r in narrow} == exact
 
 
 def test_plan_cuts_before_the_shuffle_and_embeds_once(spark):
@@ -227,6 +228,44 @@ def test_overlap_tile_runs_give_the_same_scores(monkeypatch):
     rng = np.random.default_rng(1)
     column = lambda n: pa.array([[f"t{t}" for t in set(rng.integers(9, size=4))] for _ in range(n)])
     kernel, seeds, corpus = kernels.Overlap(), column(12), column(50)
-    whole = kernel.scores(kernel.seeds(seeds), kernel.load(corpus))
+    whole = kernel.scores(kernel.seeds(seeds), kernel.load(corpus), 50)
     monkeypatch.setattr(kernels, "TILE_CELLS", 7)
-    assert np.array_equal(whole, kernel.scores(kernel.seeds(seeds), kernel.load(corpus)))
+    assert np.array_equal(whole, kernel.scores(kernel.seeds(seeds), kernel.load(corpus), 50))
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_l2_is_exact_on_unscaled_numbers(spark, plan):
+    """Two groups a million apart: products of such numbers keep no digit of the small distances."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3)) + 1e6 * (np.arange(400) % 2)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    got = {(r.seed_id, r.rank): (r.neighbor_id, r.score) for r in N.knn_join(df, df, 10, KnnOptions("l2", **plan)).collect()}
+    assert len(got) == 4000
+    for i in range(400):
+        d = np.round(((x[i] - x) ** 2).sum(1), 9)
+        for rank, j in enumerate(np.lexsort((np.arange(400), d))[:10]):
+            assert got[i, rank + 1] == (j, d[j])
+
+
+@pytest.mark.parametrize("plan", PLANS)
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_non_finite_vectors_take_no_part(spark, plan, metric):
+    rng = np.random.default_rng(6)
+    good = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(40, 3)))]
+    bad = [(100, [float("nan"), 1.0, 1.0]), (101, [float("inf"), 0.0, 0.0]), (102, [None, 1.0, 1.0])]
+    schema = "id long, embedding array<double>"
+    options = KnnOptions(metric, **plan)
+    clean = spark.createDataFrame(good, schema)
+    mixed = spark.createDataFrame(good + bad, schema)
+    assert rows(N.knn_join(mixed, mixed, 5, options)) == rows(N.knn_join(clean, clean, 5, options))
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(12)], "id long, embedding array<double>")
+    want = sorted((r.seed_id, r.rank, r.neighbor_id) for r in N.knn_join(df, df, 3).collect())
+    for kind in ("decimal(10,0)", "double"):
+        typed = df.withColumn("id", F.col("id").cast(kind))
+        got = N.knn_join(typed, typed, 3)
+        assert sorted((int(r.seed_id), r.rank, int(r.neighbor_id)) for r in got.collect()) == want
+    dated = df.withColumn("id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")))
+    assert N.knn_join(dated, dated, 3).count() == 36

@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from kith.plans import ORACLES, QUERIES
 from tests.check_oracles import compare, views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,14 +18,14 @@ def con():
     return views(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, con, name):
-    assert compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name)) is None
+    assert compare(spark, con, FOLDER, name, QUERIES[name], ORACLES.get(name)) is None
 
 
 def test_oracles_belong_to_queries():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"knn_lsh_topk", "embed_project_2d"}
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == {"knn_lsh_topk", "embed_project_2d"}
 
 
 def test_entry(spark):
@@ -32,7 +33,7 @@ def test_entry(spark):
 
 
 def plan(spark, name):
-    return entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", ["knn_cosine_topk", "lookalike_audience", "audience_score", "eval_confusion_matrix",

@@ -126,3 +126,21 @@ def test_audience_score_and_budget(spark):
     assert got == {9: (0.5, 0.375, 2), 8: (1.0, 1.0, 1)}
     members = spark.createDataFrame([("u", 1.1), ("u", None), ("v", 3.0)], "b string, amount double")
     assert {tuple(r) for r in A.bucket_budget(members, "b", "amount").collect()} == {("u", 2, 1.1, 1.1), ("v", 1, 3.0, 3.0)}
+
+
+def test_null_labels_dont_vote(spark):
+    from kith.operators.vote import vote
+
+    rows = [(1, 1, None), (1, 2, None), (1, 3, "x"), (2, 1, None)]
+    got = vote(spark.createDataFrame(rows, "seed_id long, rank int, label string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "x"), (2, None)}
+
+
+def test_a_missing_tenure_is_not_the_longest(spark):
+    from pyspark.sql import functions as F
+
+    from kith.operators.report import profile
+
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 30)], "id long, months int")
+    row = profile(df, "id", F.lit(True), F.lit(True), "months").first()
+    assert (row.longest_id, row.longest_months) == (3, 30)

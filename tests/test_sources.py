@@ -66,11 +66,11 @@ def test_in_domain(spark):
     assert in_domain(df, DOMAIN).collect() == [(18, "male")]
 
 
-def test_single_file_only_for_bounded_results(spark, tmp_path):
+def test_single_file_only_where_the_caller_says_so(spark, tmp_path):
     df = spark.range(0, 100, 1, 4)
     parts = lambda p: len([f for f in p.iterdir() if f.name.startswith("part-")])
     write_csv(df, f"{tmp_path}/one", single=True)
-    write_csv(df, f"{tmp_path}/many", single=True, single_rows=50)
+    write_csv(df, f"{tmp_path}/many")
     assert parts(tmp_path / "one") == 1 and parts(tmp_path / "many") > 1
     assert read_table(spark, f"{tmp_path}/many", "csv").count() == 100
 
