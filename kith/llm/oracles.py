@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kith.llm.chat import ChatOptions
 from kith.llm.mixing import MixOptions
-from kith.llm.quality import START
+from kith.llm.quality import CLASSES, FAULTS, PRIOR, WEIGHT, start
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,7 +71,7 @@ SELECT doc_id, size, source_size, target,
 FROM d"""
 
 
-def quality_sql(rounds: int = 10, prior: float = 0.8) -> str:
+def quality_sql(rounds: int = 10) -> str:
     """The statistics, the votes, and the rounds of estimation one by one."""
     share = lambda part, whole="n_words": f"({part} / greatest({whole}, 1))"
     rules = [
@@ -79,33 +79,26 @@ def quality_sql(rounds: int = 10, prior: float = 0.8) -> str:
         ("false", f"{share('n_upper', 'word_chars')} > 0.4"),
         ("false", f"{share('n_exclaim')} > 0.25"),
         ("false", f"{share('n_repeat_words')} > 0.2"),
-        ("n_distinct > 3 * sqrt(n_words)", "n_words >= 20 AND n_distinct < sqrt(n_words)"),
-        (f"{share('word_chars')} BETWEEN 3 AND 9", f"({share('word_chars')} < 2 OR {share('word_chars')} > 20)"),
+        ("false", "n_words >= 20 AND n_distinct < sqrt(n_words)"),
+        ("false", f"({share('word_chars')} < 2 OR {share('word_chars')} > 20)"),
         ("false", f"n_lines >= 4 AND {share('n_dup_lines', 'n_lines')} > 0.3"),
-        ("n_words >= 50", "n_words < 10"),
+        ("false", "n_words < 10"),
         (f"{share('n_ends')} BETWEEN 0.01 AND 0.34", "false"),
     ]
     letters = " || ".join(f"CASE WHEN ({g}) AND NOT ({b}) THEN 'g' WHEN ({b}) AND NOT ({g}) THEN 'b' ELSE 'a' END" for g, b in rules)
-    ctes, n = [], len(rules)
-    side = lambda x: "good" if x.startswith("good") else "bad"
-    names = [f"{c}{j}{m}" for c in START for j in range(n) for m in "gba"]
-    ctes.append("e0 AS (SELECT " + f"{prior} AS prior, " + ", ".join(
-        f"{START[c][k]} AS {c}{j}{m}" for c in START for j in range(n) for k, m in enumerate("gba")) + ")")
-
-    def posterior(e):
-        odds = f"ln({e}.prior) - ln(1 - {e}.prior)" + "".join(
-            f" + CASE substr(votes, {j + 1}, 1) " + " ".join(f"WHEN '{m}' THEN ln({e}.good{j}{m}) - ln({e}.bad{j}{m})" for m in "gba") + " END"
-            for j in range(n))
-        return f"1 / (1 + exp(-({odds})))"
-
-    for r in range(rounds):
-        ctes.append(f"p{r} AS (SELECT votes, n, {posterior(f'e{r}')} AS p FROM patterns, e{r})")
-        sums = [f"sum(CASE WHEN substr(votes, {j + 1}, 1) = '{m}' THEN {w} ELSE 0 END) AS {c}{j}{m}"
-                for c, w in (("good", "n * p"), ("bad", "n * (1 - p)")) for j in range(n) for m in "gba"]
-        ctes.append(f"m{r} AS (SELECT sum(n * p) AS good, sum(n * (1 - p)) AS bad, {', '.join(sums)} FROM p{r})")
-        ctes.append(f"e{r + 1} AS (SELECT round((good + 8) / (good + bad + 10), 9) AS prior, " + ", ".join(
-            f"greatest(round(({x} + {START[side(x)]['gba'.index(x[-1])]})"
-            f" / ({side(x)} + 1), 9), 1e-9) AS {x}" for x in names) + f" FROM m{r})")
+    values = lambda rows: ", ".join(f"({', '.join(map(str, r))})" for r in rows)
+    first = [(c, PRIOR if c < 0 else (1 - PRIOR) / len(FAULTS)) for c in CLASSES]
+    table = [(c, j + 1, f"'{m}'", start(c, j)[k]) for c in CLASSES for j in range(len(rules)) for k, m in enumerate("gba")]
+    ctes = [f"q0(c, prior) AS (VALUES {values(first)})", f"s0(c, j, m, v) AS (VALUES {values(table)})", "e0 AS (SELECT * FROM s0)"]
+    for r in range(rounds + 1):
+        ctes.append(f"l{r} AS (SELECT votes, n, e.c, any_value(ln(prior)) + sum(ln(v)) AS l FROM patterns JOIN e{r} e ON substr(votes, e.j, 1) = e.m "
+                    f"JOIN q{r} q ON q.c = e.c GROUP BY votes, n, e.c)")
+        ctes.append(f"x{r} AS (SELECT votes, n, c, exp(l - max(l) OVER w) AS x FROM l{r} WINDOW w AS (PARTITION BY votes))")
+        ctes.append(f"p{r} AS (SELECT votes, n, c, x / sum(x) OVER (PARTITION BY votes) AS p FROM x{r})")
+        if r < rounds:
+            ctes.append(f"q{r + 1} AS (SELECT c, (sum(n * p) + 1) / ((SELECT sum(n) FROM patterns) + {len(CLASSES)}) AS prior FROM p{r} GROUP BY c)")
+            ctes.append(f"e{r + 1} AS (SELECT s.c, s.j, s.m, (coalesce(sum(n * p) FILTER (WHERE substr(votes, s.j, 1) = s.m), 0) + {WEIGHT} * s.v) "
+                        f"/ (sum(n * p) + {WEIGHT}) AS v FROM s0 s JOIN p{r} ON p{r}.c = s.c GROUP BY s.c, s.j, s.m, s.v)")
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
@@ -124,7 +117,7 @@ m AS (
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {letters} AS votes FROM m),
 patterns AS (SELECT votes, count(*) AS n FROM v GROUP BY votes),
 {', '.join(c.replace(' AS (', ' AS MATERIALIZED (', 1) for c in ctes)},
-final AS (SELECT votes, {posterior(f'e{rounds}')} AS p FROM patterns, e{rounds})
+final AS (SELECT votes, p FROM p{rounds} WHERE c = -1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept
 FROM v JOIN final USING (votes)"""
 

@@ -1,9 +1,9 @@
 """Quality rules by weak supervision.
 
 Rules vote 1 (good), -1 (bad) or 0 (abstain) on statistics of a text. Expectation-maximisation over the
-counts of vote patterns estimates how each rule votes on good and on bad documents; a document is kept when
-the posterior probability that it is good reaches ``threshold``. Patterns are at most 3 ** len(RULES), whatever
-the size of the corpus; they are aggregated by Spark, and only the parameters pass through the driver.
+counts of vote patterns estimates how each rule votes on good documents and on those of each kind of fault; a document is kept when
+the posterior probability that it is good reaches ``threshold``. Spark counts the patterns, which are at most 3 ** len(RULES) whatever
+the size of the corpus; only these counts pass through the driver.
 
 Defined cases: a null text counts as empty; empty texts have zero counts and fail the base rules; rows with
 equal or null ids are judged row by row; an empty table gives an empty result; columns of the input other
@@ -12,6 +12,7 @@ than the text are carried along, unless they have the name of a result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,23 +43,33 @@ def _share(part: str, whole: str = "n_words") -> Column:
 
 _NEVER = lambda: F.lit(False)
 
+#: Faults are of different kinds, so a bad document has the good marks of all other kinds. Rules on faults therefore abstain where
+#: theirs is missing, and only one rule votes for good prose: correlated good votes would outvote a single certain fault.
 RULES = [
     Rule("symbols", _NEVER, lambda: _share("n_symbols") > 0.1),
     Rule("capitals", _NEVER, lambda: _share("n_upper", "word_chars") > 0.4),
     Rule("exclamations", _NEVER, lambda: _share("n_exclaim") > 0.25),
     Rule("repeated_words", _NEVER, lambda: _share("n_repeat_words") > 0.2),
-    Rule("variety", lambda: F.col("n_distinct") > 3 * F.sqrt(F.col("n_words")),
-         lambda: (F.col("n_words") >= 20) & (F.col("n_distinct") < F.sqrt(F.col("n_words")))),
-    Rule("word_length", lambda: _share("word_chars").between(3, 9),
-         lambda: (_share("word_chars") < 2) | (_share("word_chars") > 20)),
+    Rule("variety", _NEVER, lambda: (F.col("n_words") >= 20) & (F.col("n_distinct") < F.sqrt(F.col("n_words")))),
+    Rule("word_length", _NEVER, lambda: (_share("word_chars") < 2) | (_share("word_chars") > 20)),
     Rule("repeated_lines", _NEVER, lambda: (F.col("n_lines") >= 4) & (_share("n_dup_lines", "n_lines") > 0.3)),
-    Rule("length", lambda: F.col("n_words") >= 50, lambda: F.col("n_words") < 10),
+    Rule("length", _NEVER, lambda: F.col("n_words") < 10),
     Rule("sentences", lambda: _share("n_ends").between(0.01, 0.34), _NEVER),
 ]
 
-#: Where estimation starts: (good vote, bad vote, abstention) by a good and by a bad document. A bad vote names a
-#: certain fault, which a bad document need not have but a good one hardly does.
-START = {"good": (0.6, 0.01, 0.39), "bad": (0.4, 0.3, 0.3)}
+#: Classes: good documents, and bad ones by the rule whose fault they have.
+FAULTS = [j for j, rule in enumerate(RULES) if rule.name != "sentences"]
+CLASSES = [-1, *FAULTS]
+
+
+def start(cls: int, j: int) -> tuple[float, float, float]:
+    """How rule ``j`` is first taken to vote (good, bad, abstain) on a document of a class."""
+    if cls == j:
+        return 0.05, 0.9, 0.05
+    return (0.6, 0.005, 0.395) if cls < 0 else (0.5, 0.05, 0.45)
+
+
+PRIOR, WEIGHT = 0.8, 10.0  # share of good documents at the start; documents each start counts for
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
@@ -102,51 +113,41 @@ def with_votes(measured: DataFrame) -> DataFrame:
     return measured.withColumn("votes", F.concat(*letters))
 
 
-def _log_odds(parameters: dict) -> Column:
-    """Log odds that a document with these votes is good."""
-    total = F.log(F.lit(parameters["prior"])) - F.log(F.lit(1 - parameters["prior"]))
-    for j in range(len(RULES)):
-        letter, odds = F.substring("votes", j + 1, 1), None
-        for k, mark in enumerate("gba"):
-            value = F.log(F.lit(parameters["good"][j][k])) - F.log(F.lit(parameters["bad"][j][k]))
-            odds = F.when(letter == mark, value) if odds is None else odds.when(letter == mark, value)
-        total = total + odds
-    return total
-
+def estimate(counts: dict[str, int], rounds: int = 10) -> dict[str, float]:
+    """Expectation-maximisation on the counts of vote patterns: the posterior of being good for each.
 
-def _posterior(parameters: dict) -> Column:
-    return 1 / (1 + F.exp(-_log_odds(parameters)))
-
-
-def estimate(patterns: DataFrame, rounds: int = 10, prior: float = 0.8) -> dict:
-    """Expectation-maximisation on ``(votes, n)``. Each round is one aggregate; it yields the next parameters.
-
-    Counts are smoothed by one vote of the starting distribution for each hundred documents of a class's share at most
-    one; parameters are rounded, so partitioning doesn't change them.
+    Bad documents are a mixture, a class for each kind of fault: rules are independent within a class, and a certain fault isn't
+    outvoted by the other kinds being absent.
     """
-    parameters = {"prior": prior, **{c: [START[c]] * len(RULES) for c in START}}
-    for _ in range(rounds):
-        scored = patterns.withColumn("p", _posterior(parameters))
-        weight = {"good": F.col("n") * F.col("p"), "bad": F.col("n") * (1 - F.col("p"))}
-        sums = [F.sum(w).alias(c) for c, w in weight.items()]
-        for c, w in weight.items():
-            for j in range(len(RULES)):
-                for mark in "gba":
-                    sums.append(F.sum(F.when(F.substring("votes", j + 1, 1) == mark, w).otherwise(0.0)).alias(f"{c}{j}{mark}"))
-        row = scored.agg(*sums).first()
-        if row["good"] is None:
+    patterns, total = sorted(counts), sum(counts.values())
+    prior = {c: PRIOR if c < 0 else (1 - PRIOR) / len(FAULTS) for c in CLASSES}
+    table = {(c, j, m): start(c, j)[k] for c in CLASSES for j in range(len(RULES)) for k, m in enumerate("gba")}
+    for round_ in range(rounds + 1):
+        posterior = {}
+        for v in patterns:
+            logs = {c: math.log(prior[c]) + sum(math.log(table[c, j, m]) for j, m in enumerate(v)) for c in CLASSES}
+            top = max(logs.values())
+            shares = {c: math.exp(x - top) for c, x in logs.items()}
+            whole = sum(shares.values())
+            posterior[v] = {c: x / whole for c, x in shares.items()}
+        if round_ == rounds:
             break
-        parameters = {"prior": round((row["good"] + 8) / (row["good"] + row["bad"] + 10), 9)}
-        for c in START:
-            parameters[c] = [tuple(round((row[f"{c}{j}{m}"] + START[c][k]) / (row[c] + 1), 9) or 1e-9
-                                   for k, m in enumerate("gba")) for j in range(len(RULES))]
-    return parameters
+        for c in CLASSES:
+            mass = sum(counts[v] * posterior[v][c] for v in patterns)
+            prior[c] = (mass + 1) / (total + len(CLASSES))
+            for j in range(len(RULES)):
+                for k, m in enumerate("gba"):
+                    seen = sum(counts[v] * posterior[v][c] for v in patterns if v[j] == m)
+                    table[c, j, m] = (seen + WEIGHT * start(c, j)[k]) / (mass + WEIGHT)
+    return {v: p[-1] for v, p in posterior.items()}
 
 
 def posteriors(voted: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(votes, posterior)`` of every vote pattern that occurs, at most 3 ** len(RULES) rows."""
-    patterns = materialize(voted.groupBy("votes").agg(F.count("*").alias("n")), "votes")
-    return patterns.select("votes", _posterior(estimate(patterns, rounds)).alias("posterior"))
+    """``(votes, posterior)`` of every vote pattern that occurs, at most 3 ** len(RULES) rows; Spark counts them."""
+    counts = {r[0]: r[1] for r in voted.groupBy("votes").agg(F.count("*")).collect()}
+    found = estimate(counts, rounds) if counts else {"": 0.0}
+    rows = ", ".join(f"('{v}', {p!r}D)" for v, p in sorted(found.items()))
+    return voted.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(votes, posterior)")
 
 
 def judge(voted: DataFrame, table: DataFrame, threshold: float = 0.5) -> DataFrame:
