@@ -38,7 +38,8 @@ class JaccardOptions:
     percent: int = 90       # documents link when 100 * intersection >= percent * union
     flush: int = 1 << 20    # signatures gathered before they are sent
     task_bytes: int = 24 << 20  # signatures of one task
-    block: int = 512        # documents of a signature joined in one tree
+    family: int = 4_096     # documents of signatures with common members joined in one tree
+    block: int = 512        # documents of one tree where a family is larger
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -229,7 +230,7 @@ class Tree:
     FAN = 8
 
     def __init__(self, sets: list[np.ndarray], labels: list[int], bits: int):
-        self.sets, self.order = sets, np.argsort([len(s) for s in sets], kind="stable")
+        self.sets, self.labels, self.order = sets, labels, np.argsort([len(s) for s in sets], kind="stable")
         maps = np.zeros((len(sets), bits // 64), np.uint64)
         for row, at in enumerate(self.order):
             bit = sets[at] % np.uint64(bits)
@@ -246,7 +247,10 @@ class Tree:
 
 
 def traverse(a: Tree, b: Tree, percent: int):
-    """The links between two trees as (place, place), in a dual traversal that goes down both at once."""
+    """Links between two trees as (place, place), in a dual traversal that goes down both at once.
+
+    Labels that links have joined count as one from then on, so as many links are found as are needed to join them, not all pairs.
+    """
     top = max(len(a.levels), len(b.levels)) - 1
     pairs = np.array([[0, 0]])
     for depth in range(top, -1, -1):
@@ -267,14 +271,23 @@ def traverse(a: Tree, b: Tree, percent: int):
         grid = np.stack(np.meshgrid(np.arange(fan[0]), np.arange(fan[1]), indexing="ij"), -1).reshape(-1, 2)
         pairs = (np.stack([i * fan[0], j * fan[1]], 1)[:, None, :] + grid[None]).reshape(-1, 2)
         pairs = pairs[(pairs[:, 0] < below[0]) & (pairs[:, 1] < below[1])]
-    for p, q in zip(a.order[i], b.order[j]):
-        if (a is not b or p != q) and links(a.sets[p], b.sets[q], percent):
+    top_: dict = {}
+
+    def find(v):
+        while (up := top_.get(v, v)) != v:
+            top_[v] = v = top_.get(up, up)
+        return v
+
+    for p, q in zip(a.order[i].tolist(), b.order[j].tolist()):
+        u, v = find(a.labels[p]), find(b.labels[q])
+        if u != v and links(a.sets[p], b.sets[q], percent):
+            top_[max(u, v)] = min(u, v)
             yield p, q
 
 
 def tree_links(stars_: DataFrame, checked: DataFrame, labels: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
     """``(a, b)``: links that the stars didn't reach, from the signatures whose members are not in one component."""
-    k, percent, block = opts.words, opts.percent, opts.block
+    k, percent, block, family = opts.words, opts.percent, opts.block, opts.family
     label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
     apart = (checked.filter("not linked").join(label("pivot"), "pivot", "left").join(label("member"), "member", "left")
              .filter(F.coalesce("pivot_label", "pivot") != F.coalesce("member_label", "member")).select("pivot", "member"))
@@ -291,9 +304,9 @@ def tree_links(stars_: DataFrame, checked: DataFrame, labels: DataFrame, df: Dat
     placed = materialize(members.join(kin.withColumnRenamed("id", "doc_id"), "doc_id"), "placed")
     each = placed.select("component", "doc_id", "label").distinct()
     families = each.groupBy("component").agg(F.count("*").alias("m"))
-    small = each.join(families.filter(F.col("m") <= block), "component").select(F.col("component").alias("sig"), "doc_id", "label", F.lit(1).alias("blocks"))
+    small = each.join(families.filter(F.col("m") <= family), "component").select(F.col("component").alias("sig"), "doc_id", "label", F.lit(1).alias("blocks"))
     # Larger families are joined signature by signature, those with the same members once.
-    large = placed.join(families.filter(F.col("m") > block), "component")
+    large = placed.join(families.filter(F.col("m") > family), "component")
     chosen = large.groupBy("n", "least", "x").agg(F.min("sig").alias("sig")).select("sig")
     large = large.join(chosen, "sig", "left_semi").select("sig", "doc_id", "label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     units = (small.unionByName(large).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("blocks")).cast("int"))

@@ -67,7 +67,7 @@ def test_near_duplicates_lose_no_link(spark):
     for seed, k, percent in ((1, 3, 90), (2, 5, 80)):
         texts = texts_for_links(random.Random(seed))
         df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, jaccard.JaccardOptions(k, percent, flush=500, block=4)).collect()}
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, jaccard.JaccardOptions(k, percent, flush=500, family=6, block=4)).collect()}
         assert got == plain_components(texts, k, percent)
 
 
@@ -82,8 +82,8 @@ def test_chain_of_near_copies_needs_the_trees(spark):
         texts.append(" ".join(words))
     r.shuffle(texts)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for block in (4, 512):
-        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, jaccard.JaccardOptions(3, 90, block=block)).collect()}
+    for family, block in ((4, 4), (4096, 512)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, jaccard.JaccardOptions(3, 90, family=family, block=block)).collect()}
         assert got == plain_components(texts, 3, 90)
 
 
@@ -93,10 +93,12 @@ def test_signature_trees_find_every_link():
     sets += [np.unique(np.concatenate([s[1:], np.array([r.randrange(2**60)], np.uint64)])) for s in sets]
     tree = jaccard.Tree(sets, list(range(len(sets))), 256)
     got = {tuple(sorted(p)) for p in jaccard.traverse(tree, tree, 80)}
-    assert got == {(i, j) for j in range(len(sets)) for i in range(j) if jaccard.links(sets[i], sets[j], 80)}
+    assert got == {(i, j) for j in range(len(sets)) for i in range(j) if jaccard.links(sets[i], sets[j], 80)}  # pairs only, so none is spare
     half = jaccard.Tree(sets[:30], list(range(30)), 256), jaccard.Tree(sets[30:], list(range(30, 80)), 256)
     got = {(a, b + 30) for a, b in jaccard.traverse(*half, 80)}
     assert got == {(i, j) for i in range(30) for j in range(30, 80) if jaccard.links(sets[i], sets[j], 80)}
+    copies = jaccard.Tree([sets[0]] * 50, list(range(50)), 256)
+    assert len(list(jaccard.traverse(copies, copies, 80))) == 49
 
 
 def test_linked_sets_share_a_signature():
