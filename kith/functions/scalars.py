@@ -26,7 +26,7 @@ def metadata_map(columns: Sequence[str]) -> Column:
     entries = []
     for name in columns:
         entries += [F.lit(name), F.col(f"`{name}`").cast("string")]
-    return F.create_map(*entries)
+    return F.create_map(*entries).cast("map<string,string>")
 
 
 def meta_get(col: Column, key: str, default: str = "Unknown", encoded: bool = False) -> Column:

@@ -16,7 +16,8 @@ def _plain_number(col: Column) -> Column:
     """Number text without exponent or trailing zeros, so 0, 0.0 and 0E-3 read the same."""
     fixed = F.format_string("%.9f", col.cast("double"))
     text = F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")
-    return F.when(text == "-0", "0").otherwise(text)
+    # format_string writes a null as the word "null"
+    return F.when(text == "-0", "0").when(col.isNotNull(), text)
 
 
 def row_text(columns: Sequence[str], types: dict[str, T.DataType] | None = None) -> Column:

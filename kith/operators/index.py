@@ -18,13 +18,13 @@ from kith.sources.writers import append_index
 
 def build_index(df: DataFrame, path: str, id_col: str, label_col: str | None = None,
                 features: Sequence[str] | None = None, meta_cols: Sequence[str] | None = None,
-                embedder=HashEmbedder()) -> DataFrame:
-    """Row text, vector and metadata of a table, appended to the index at ``path``."""
+                embedder=HashEmbedder(), metric: str = "cosine") -> DataFrame:
+    """Row text (in canonical form), vector, features and metadata of a table, appended to the index at ``path``."""
     features = features or feature_cols(df, id_col, label_col)
     if meta_cols is None:
         meta_cols = [id_col] + ([label_col] if label_col else [])
-    rows = embed(row_as_text(df, features), embedder)
-    append_index(rows, path, id_col, meta_cols=meta_cols)
+    rows = embed(row_as_text(df, features, canonical=True), embedder)
+    append_index(rows, path, id_col, meta_cols=meta_cols, features=features, metric=metric)
     return read_index(df.sparkSession, path)
 
 

@@ -87,13 +87,13 @@ def _bucket_sql(col):
             f"CAST(floor({col} / 1000) + 1 AS BIGINT) || 'k' END")
 
 
-def _party_sql(name, prefix, id_col, extra=""):
+def party_sql(name, prefix, id_col, extra=""):
     return f"""SELECT {id_col} AS id, 'region: ' || n_regionkey || '; nation: ' || {prefix}_nationkey || '; balance: '
       || {_bucket_sql(prefix + '_acctbal')} AS txt{extra} FROM {name} JOIN nation ON n_nationkey = {prefix}_nationkey"""
 
 
-PARTIES = f"""s AS ({_party_sql('supplier', 's', 's_suppkey')}),
-  c AS ({_party_sql('customer', 'c', 'c_custkey', ", c_mktsegment AS segment, c_acctbal AS amount, "
+PARTIES = f"""s AS ({party_sql('supplier', 's', 's_suppkey')}),
+  c AS ({party_sql('customer', 'c', 'c_custkey', ", c_mktsegment AS segment, c_acctbal AS amount, "
                     + _bucket_sql('c_acctbal') + " AS balance")}),
   st AS (SELECT id, unnest(string_split(txt, '; ')) AS t FROM s),
   ct AS (SELECT id, unnest(string_split(txt, '; ')) AS t FROM c)"""
@@ -104,9 +104,9 @@ def _hashed(tokens_from, name):
   {name}_len AS (SELECT id, sqrt(sum(n * n)) AS len FROM {name} GROUP BY 1)"""
 
 
-def party_pairs(k=K_PARTIES, seed_tokens="st"):
+def party_pairs(k=K_PARTIES, seed_tokens="st", parties=PARTIES):
     """SQL: the k nearest customers of each supplier as ``p(seed_id, neighbor_id, score, rank)``."""
-    return f"""{PARTIES}, {_hashed(seed_tokens, 'sh')}, {_hashed('ct', 'ch')},
+    return f"""{parties}, {_hashed(seed_tokens, 'sh')}, {_hashed('ct', 'ch')},
   dot AS (SELECT sh.id AS s_id, ch.id AS c_id, sum(sh.n * ch.n) AS d FROM sh JOIN ch USING (b) GROUP BY 1, 2),
   sim AS (SELECT sl.id AS seed_id, cl.id AS neighbor_id, round(coalesce(d, 0) / (sl.len * cl.len), 9) AS score
           FROM sh_len sl CROSS JOIN ch_len cl LEFT JOIN dot ON s_id = sl.id AND c_id = cl.id),
@@ -114,9 +114,9 @@ def party_pairs(k=K_PARTIES, seed_tokens="st"):
         FROM sim) WHERE rank <= {k})"""
 
 
-def scored_sql():
+def scored_sql(parties=PARTIES):
     """SQL: party pairs with the share of equal row text pairs as ``q``."""
-    return f"""{party_pairs()},
+    return f"""{party_pairs(parties=parties)},
   inter AS (SELECT seed_id, neighbor_id, count(*) AS i FROM p JOIN st ON st.id = seed_id
             JOIN ct ON ct.id = neighbor_id AND ct.t = st.t GROUP BY 1, 2),
   q AS (SELECT p.*, s.txt AS seed_text, c.txt AS neighbor_text, c.segment,
@@ -299,7 +299,7 @@ def knn_reranked_vote(spark, sf):
 FEATURES = ["region", "nation", "balance"]
 
 
-def _stored(spark, sf):
+def stored(spark, sf):
     return build_index(corpus(spark, sf).withColumn("rich", (F.col("amount") >= 9000).cast("int")),
                        new_folder(spark, "index"), "id", features=FEATURES, meta_cols=["id", "segment", "rich"],
                        embedder=HashEmbedder(DIM))
@@ -311,7 +311,7 @@ FIELDS = ", ".join(f"split_part(split_part(txt, '{f}: ', 2), '; ', 1) AS {f}" fo
 @query(f"""WITH {party_pairs()} SELECT DISTINCT {FIELDS}, CAST(id AS VARCHAR) AS id, segment
            FROM c WHERE id IN (SELECT neighbor_id FROM p)""")
 def flow_audience(spark, sf):
-    return flows.find_audience(seeds(spark, sf), _stored(spark, sf), FEATURES, K_PARTIES, ["id", "segment"])
+    return flows.find_audience(seeds(spark, sf), stored(spark, sf), FEATURES, K_PARTIES, ["id", "segment"])
 
 
 @query(f"""WITH {scored_sql()}, b AS (SELECT DISTINCT neighbor_text AS txt, pair_score FROM (
@@ -319,7 +319,7 @@ def flow_audience(spark, sf):
              FROM (SELECT DISTINCT seed_text, neighbor_text, pair_score FROM q)) WHERE r <= {R.rerank_depth(K_PARTIES)})
            SELECT {FIELDS}, round(pair_score, 6) AS score FROM b""")
 def flow_reranked(spark, sf):
-    return shown(flows.find_reranked(seeds(spark, sf), _stored(spark, sf), FEATURES, K_PARTIES, TokenJaccard()))
+    return shown(flows.find_reranked(seeds(spark, sf), stored(spark, sf), FEATURES, K_PARTIES, TokenJaccard()))
 
 
 @query(f"""WITH {party_pairs()}, v AS (SELECT seed_id, segment, count(*) AS n, min(rank) AS nearest
@@ -327,12 +327,12 @@ def flow_reranked(spark, sf):
            SELECT seed_id AS id, segment AS predicted FROM (SELECT *, row_number() OVER (
              PARTITION BY seed_id ORDER BY n DESC, nearest) AS o FROM v) WHERE o = 1""")
 def flow_classify(spark, sf):
-    got = flows.classify(seeds(spark, sf), _stored(spark, sf), FEATURES, K_PARTIES, "segment")
+    got = flows.classify(seeds(spark, sf), stored(spark, sf), FEATURES, K_PARTIES, "segment")
     return got.select("id", "predicted")
 
 
 @query(f"""WITH {party_pairs()} SELECT seed_id AS id, max(CAST(amount >= 9000 AS INTEGER)) AS predicted
            FROM p JOIN c ON c.id = neighbor_id GROUP BY 1""")
 def flow_spread_label(spark, sf):
-    got = flows.spread_label(seeds(spark, sf), _stored(spark, sf), FEATURES, K_PARTIES, "rich")
+    got = flows.spread_label(seeds(spark, sf), stored(spark, sf), FEATURES, K_PARTIES, "rich")
     return got.select("id", "predicted")

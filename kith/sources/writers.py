@@ -31,20 +31,26 @@ def write_result(df: DataFrame, folder: str, stem: str | None = None, mode: str
     return path
 
 
-def index_rows(df: DataFrame, id_col: str, text_col: str, vector_col: str, meta_cols: Sequence[str]) -> DataFrame:
-    """The index layout: id, text, vector and the stringified metadata."""
+def index_rows(df: DataFrame, id_col: str, text_col: str, vector_col: str, meta_cols: Sequence[str],
+               features: Sequence[str] = (), metric: str = "cosine") -> DataFrame:
+    """The index layout: id, text, vector, and metadata and features as text.
+
+    The metric is kept with the vector column, in the schema that the files carry.
+    """
     return df.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("row_as_text"),
-        F.col(vector_col).cast("array<float>").alias("embedding"),
+        F.col(vector_col).cast("array<float>").alias("embedding", metadata={"metric": metric}),
         metadata_map(meta_cols).alias("metadata"),
+        metadata_map(features).alias("fields"),
     )
 
 
 def append_index(df: DataFrame, path: str, id_col: str = "id", text_col: str = "row_as_text",
-                 vector_col: str = "embedding", meta_cols: Sequence[str] = ()) -> None:
-    """Append entries to a Parquet index."""
-    index_rows(df, id_col, text_col, vector_col, meta_cols).write.mode("append").parquet(path)
+                 vector_col: str = "embedding", meta_cols: Sequence[str] = (), features: Sequence[str] = (),
+                 metric: str = "cosine") -> None:
+    """Append entries to a Parquet index; ``features`` are the columns that flows give back."""
+    index_rows(df, id_col, text_col, vector_col, meta_cols, features, metric).write.mode("append").parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -30,12 +30,13 @@ def _start(df: DataFrame, path: str, checkpoint: str, fmt: str, by: Sequence[str
 
 
 def stream_index(rows: DataFrame, path: str, checkpoint: str, id_col: str, features: Sequence[str],
-                 meta_cols: Sequence[str] = (), embedder=HashEmbedder()) -> StreamingQuery:
+                 meta_cols: Sequence[str] = (), embedder=HashEmbedder(), metric: str = "cosine") -> StreamingQuery:
     """Append all new rows to a Parquet index, chunk by chunk, and stop.
 
     A restarted load goes on after the last finished chunk, so entries are never doubled.
     """
-    ready = index_rows(embed(row_as_text(rows, features), embedder), id_col, "row_as_text", "embedding", meta_cols)
+    texts = row_as_text(rows, features, canonical=True)
+    ready = index_rows(embed(texts, embedder), id_col, "row_as_text", "embedding", meta_cols, features, metric)
     return _start(ready, path, checkpoint, "parquet")
 
 

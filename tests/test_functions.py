@@ -1,4 +1,5 @@
 import hashlib
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,11 @@ def test_hash_vector_counts_every_pair(spark):
 def test_unit_vector(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(K.unit_vector(F.col("v"))).collect()] == [[0.6, 0.8], None]
+
+
+def test_canonical_text_leaves_nulls_out(spark):
+    from kith.operators.shape import row_as_text
+
+    df = spark.createDataFrame([(1, None, None), (2, 0.50, Decimal("1.20"))], "id int, x double, y decimal(9,2)")
+    got = [r.row_as_text for r in row_as_text(df, ["id", "x", "y"], canonical=True).orderBy("id").collect()]
+    assert got == ["id: 1", "id: 2; x: 0.5; y: 1.2"]

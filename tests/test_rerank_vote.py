@@ -144,3 +144,20 @@ def test_a_missing_tenure_is_not_the_longest(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 30)], "id long, months int")
     row = profile(df, "id", F.lit(True), F.lit(True), "months").first()
     assert (row.longest_id, row.longest_months) == (3, 30)
+
+
+@pytest.mark.parametrize("kind", ["sparse", "text"])
+def test_prefix_rerank_with_any_seed_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(R, "BLOCK_SEEDS", 2)
+    monkeypatch.setattr(R, "BLOCK_GROUP", 3)
+    rng = np.random.default_rng(5)
+    ids = [i * 10**12 - 7 for i in range(40)] if kind == "sparse" else [f"s{i:03d}" for i in range(40)]
+    rows = [(ids[i], int(n), round(float(s), 1)) for i, n, s in
+            zip(rng.integers(40, size=300), rng.integers(80, size=300), rng.normal(size=300) * 3)]
+    df = spark.createDataFrame(rows, f"seed_id {'long' if kind == 'sparse' else 'string'}, neighbor_id long, pair_score double")
+    got = [tuple(r) for r in R.rerank(df, 5, mode="prefix").collect()]
+    assert len(got) == len(set(got)) and set(got) == literal_prefix(rows, 5)
+
+
+def test_prefix_rerank_of_nothing(spark):
+    assert R.rerank(pairs(spark, []), 5, mode="prefix").count() == 0
