@@ -30,6 +30,10 @@ class CellIndex:
     far: np.ndarray
     metric: str
 
+    def only(self, cells: np.ndarray) -> DataFrame:
+        """The rows of some cells; the scan is pruned to their folders."""
+        return self.rows.filter(F.col("cell").isin([int(i) for i in cells]))
+
 
 def write_cells(index: DataFrame, path: str, cells: int = 256, metric: str = "cosine",
                 vector_col: str = "embedding", id_col: str = "id") -> None:
@@ -95,16 +99,21 @@ def knn_join_cells(seeds: DataFrame, index: CellIndex, k: int, options: KnnOptio
                    seed_id: str = "id", neighbor_id: str = "id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows of a stored index for every seed.
 
-    Few seeds (checked) read only the cells they need; more take the partitioned plan over all.
+    Only cells that the seeds need are read. Few seeds (checked) are broadcast to them; more take the partitioned plan with the
+    stored pivots and summary.
     """
     if options.metric != index.metric:
         raise ValueError(f"the index is stored for {index.metric}")
     s, c = N._vector_sides(seeds, index.rows, seed_id, neighbor_id, vector_col)
-    table = N._broadcast_seeds(s, k, options.metric, options, must=options.plan == "broadcast")
+    table = None
+    if options.plan != "partitioned":
+        table = N._broadcast_seeds(s, k, options.metric, options, must=options.plan == "broadcast")
     if table is None:
-        return N._finish(N._partitioned(s, c, k, options), options.metric)
+        def read(cells):
+            return N._vector_sides(seeds, index.only(cells), seed_id, neighbor_id, vector_col)[1]
+
+        return N._finish(N._partitioned(s, c, k, options, index, read), options.metric)
     if table.num_rows:
         cells = needed_cells(index, kernels.points(table.column("vec"), options.metric), k + int(options.exclude_self))
-        rows = index.rows.filter(F.col("cell").isin([int(i) for i in cells]))
-        c = N._vector_sides(seeds, rows, seed_id, neighbor_id, vector_col)[1]
+        c = N._vector_sides(seeds, index.only(cells), seed_id, neighbor_id, vector_col)[1]
     return N._finish(N._past_broadcast(table, s, c, k, options.metric, options), options.metric)

@@ -38,3 +38,14 @@ def test_many_seeds_and_all_of_a_small_index(spark, data, tmp_path):
     assert rows(got) == brute(corpus, corpus[:40], 3, "cosine")
     with pytest.raises(ValueError, match="stored for cosine"):
         knn_join_cells(frame(spark, seeds), index, 3, KnnOptions("l2"))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_seeds_beyond_the_broadcast_read_few_cells_too(spark, data, tmp_path, metric):
+    corpus, seeds = data
+    write_cells(frame(spark, corpus), f"{tmp_path}/i", cells=24, metric=metric)
+    index = read_cells(spark, f"{tmp_path}/i")
+    many = np.repeat(seeds[:2], 8, axis=0) + 1e-4 * np.arange(16)[:, None]
+    got = knn_join_cells(frame(spark, many), index, 7, KnnOptions(metric, broadcast_rows=10))
+    assert rows(got) == brute(many, corpus, 7, metric)
+    assert "PartitionFilters: [cell" in got._jdf.queryExecution().executedPlan().toString()
