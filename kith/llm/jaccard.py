@@ -1,20 +1,23 @@
 """N-gram Jaccard join: documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
-1. A text becomes its set of 64-bit shingle hashes. Equal sets form one class by a 128-bit digest.
+1. A text becomes its set of 64-bit shingle hashes. Equal sets form one class, named by 64 bits of their digest.
 2. Two sets of at most ``m`` shingles that link differ in at most D shingles. The hash range is cut into parts, and each set sends a
    signature for its first D + 1 parts that aren't empty; at least one of them is untouched by the differences, so linked
    sets share a signature. Sizes fall into intervals that grow by half; a set takes part in its own and, near the end,
    in the next. No link is lost and no frequent shingle by itself brings documents together, since a part must agree as a whole.
-3. Documents with a common signature form a star around the smallest id, first within a batch and then over all, so a group of
-   copies costs as many pairs as it has members. Pairs are verified on whole texts.
-4. Where a star's pair fails and its ends aren't in one component yet, the members of that signature are joined by signature trees:
-   nodes hold OR-combined token bitmaps and size ranges; a dual traversal drops node pairs of one component and those whose
-   largest possible overlap is too small, and verifies what is left. Signatures with common members are joined as one family while it
-   fits a tree, else one by one; large memberships are cut into blocks and pairs of blocks.
+3. Classes with a common signature meet, first within a batch and then over all, as pairs of the smallest class and the others.
+4. The members of every shared signature are joined by signature trees: nodes hold OR-combined token bitmaps and size ranges; a dual
+   traversal drops node pairs whose largest possible overlap is too small, and verifies what is left. Signatures with common members
+   are joined as one family, else (more than ``family`` members) one by one; memberships are cut into blocks and pairs of blocks.
+5. Every pair of different sets is verified once: a family's pair lies in one unit, and a pair of a larger family counts under its
+   smallest common signature. Tasks emit counts by class and as many edges as join the components, not the links themselves.
+
+``n_links`` is the number of other rows that a row links with, rows of its own class included. With ``count=False`` it is left out
+and trees skip pairs that are joined already, which gives components alone.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts with fewer words than a shingle are one
-shingle; rows without doc_id link with nothing and have no component; rows that share a doc_id share their links;
-other columns are left out.
+shingle; rows without doc_id link with nothing and have no component; rows that share a doc_id share their component, and each
+counts the links of its own text; other columns are left out.
 """
 
 from __future__ import annotations
@@ -38,8 +41,9 @@ class JaccardOptions:
     percent: int = 90       # documents link when 100 * intersection >= percent * union
     flush: int = 1 << 20    # signatures gathered before they are sent
     task_bytes: int = 24 << 20  # signatures of one task
-    family: int = 4_096     # documents of signatures with common members joined in one tree
-    block: int = 512        # documents of one tree where a family is larger
+    family: int = 4_096     # classes of signatures with common members joined as one family
+    block: int = 512        # classes of one tree
+    count: bool = True      # verify and count every link; else only as many as join the components
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -114,8 +118,13 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def named(s: np.ndarray) -> int:
+    """The id of a set's class."""
+    return int.from_bytes(digest(s)[:8], "little", signed=True)
+
+
 def describe(df: DataFrame, opts: JaccardOptions) -> DataFrame:
-    """``(doc_id, n_shingles, digest)``; the digest of an empty set is null."""
+    """``(doc_id, n_shingles, cid)``; the class of an empty set is null."""
     k = opts.words
 
     def run(batches):
@@ -123,10 +132,10 @@ def describe(df: DataFrame, opts: JaccardOptions) -> DataFrame:
             for batch in slices(whole, "text"):
                 sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "digest"])
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([named(s) if len(s) else None for s in sets], pa.int64())],
+                    ["doc_id", "n_shingles", "cid"])
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cid long")
 
 
 def _stars(sig: np.ndarray, ids: np.ndarray):
@@ -140,7 +149,7 @@ def _stars(sig: np.ndarray, ids: np.ndarray):
 
 
 def stars(df: DataFrame, total: int, opts: JaccardOptions) -> DataFrame:
-    """``(sig, pivot, member)``: each document with a signature that is not alone in it, beside the smallest id met so far."""
+    """``(sig, pivot, member)``: each class with a signature that is not alone in it, beside the smallest class met so far."""
     k, percent, flush = opts.words, opts.percent, opts.flush
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(total * (100 - percent) * 16 * 3 // (200 * opts.task_bytes)) + 1)
 
@@ -164,16 +173,16 @@ def stars(df: DataFrame, total: int, opts: JaccardOptions) -> DataFrame:
             for batch in slices(whole, "text"):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     s = shingles(text, k) if doc_id is not None else ()
-                    if not len(s) or (d := digest(s)) in seen:
+                    if not len(s) or (cid := named(s)) in seen:
                         continue
-                    seen.add(d)
+                    seen.add(cid)
                     found = signatures(s, percent)
                     if len(found):
                         sigs.append(found)
-                        owners.append((doc_id, len(found)))
+                        owners.append((cid, len(found)))
                         held += len(found)
                     if held >= flush:
-                        turn += 1 + doc_id % 7
+                        turn += 1 + cid % 7
                         yield send(sigs, owners, turn)
                         sigs, owners, held, seen = [], [], 0, set()
         if sigs:
@@ -202,26 +211,19 @@ def stars(df: DataFrame, total: int, opts: JaccardOptions) -> DataFrame:
     return blobs.repartition(tasks, "p").mapInArrow(meet, "sig long, pivot long, member long")
 
 
-def verify(pairs: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
-    """Add ``linked`` to ``(pivot, member)`` by their whole texts."""
-    k, percent = opts.words, opts.percent
-    wanted = pairs.select(F.explode(F.array("pivot", "member")).alias("doc_id")).distinct()
-    texts = materialize(df.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), "texts")
-    joined = (pairs.join(texts.withColumnsRenamed({"doc_id": "member", "text": "mt"}), "member")
-              .join(texts.withColumnsRenamed({"doc_id": "pivot", "text": "pt"}), "pivot").select("pivot", "member", "pt", "mt"))
+def class_texts(wanted: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
+    """``(cid, text)``: one text of each class of ``wanted (cid, rep)``."""
+    k = opts.words
+    near = df.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def run(batches):
-        last, held = None, None
-        for batch in batches:
-            out = []
-            for pt, mt in zip(batch.column(2), batch.column(3)):
-                pt = pt.as_py()
-                if pt != last:
-                    last, held = pt, shingles(pt, k)
-                out.append(links(held, shingles(mt.as_py(), k), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["pivot", "member", "linked"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [shingles(t, k) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([named(s) if len(s) else None for s in sets], pa.int64()), batch.column(0)], ["cid", "text"])
 
-    return joined.mapInArrow(run, "pivot long, member long, linked boolean")
+    found = near.select("text").mapInArrow(run, "cid long, text string")
+    return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text"))
 
 
 class Tree:
@@ -246,20 +248,18 @@ class Tree:
             self.levels.append(level)
 
 
-def traverse(a: Tree, b: Tree, percent: int):
-    """Links between two trees as (place, place), in a dual traversal that goes down both at once.
-
-    Labels that links have joined count as one from then on, so as many links are found as are needed to join them, not all pairs.
-    """
+def candidates(a: Tree, b: Tree, percent: int, every: bool):
+    """Pairs of places that may link, in a dual traversal that goes down both trees at once; ``every``: those of one label too."""
     top = max(len(a.levels), len(b.levels)) - 1
     pairs = np.array([[0, 0]])
     for depth in range(top, -1, -1):
         x, y = a.levels[min(depth, len(a.levels) - 1)], b.levels[min(depth, len(b.levels) - 1)]
         i, j = pairs[:, 0], pairs[:, 1]
-        keep = ~((x[4][i] == x[5][i]) & (y[4][j] == y[5][j]) & (x[4][i] == y[4][j]))
-        keep &= (100 * x[2][i] >= percent * y[1][j]) & (100 * y[2][j] >= percent * x[1][i])
+        keep = (100 * x[2][i] >= percent * y[1][j]) & (100 * y[2][j] >= percent * x[1][i])
+        if not every:
+            keep &= ~((x[4][i] == x[5][i]) & (y[4][j] == y[5][j]) & (x[4][i] == y[4][j]))
         if a is b:
-            keep &= i <= j
+            keep &= i <= j if depth else i < j
         i, j = i[keep], j[keep]
         overlap = np.concatenate([np.bitwise_count(x[0][i[s:s + 4096]] & y[0][j[s:s + 4096]]).sum(axis=1) for s in range(0, len(i), 4096)] or [[]])
         keep = (overlap + np.minimum(x[3][i], y[3][j])) * (100 + percent) >= percent * (x[1][i] + y[1][j])
@@ -271,102 +271,169 @@ def traverse(a: Tree, b: Tree, percent: int):
         grid = np.stack(np.meshgrid(np.arange(fan[0]), np.arange(fan[1]), indexing="ij"), -1).reshape(-1, 2)
         pairs = (np.stack([i * fan[0], j * fan[1]], 1)[:, None, :] + grid[None]).reshape(-1, 2)
         pairs = pairs[(pairs[:, 0] < below[0]) & (pairs[:, 1] < below[1])]
-    top_: dict = {}
+    return a.order[i], b.order[j]
+
+
+def traverse(a: Tree, b: Tree, percent: int):
+    """Links between two trees as (place, place).
+
+    Labels that links have joined count as one from then on, so as many links are found as are needed to join them, not all pairs.
+    """
+    top: dict = {}
 
     def find(v):
-        while (up := top_.get(v, v)) != v:
-            top_[v] = v = top_.get(up, up)
+        while (up := top.get(v, v)) != v:
+            top[v] = v = top.get(up, up)
         return v
 
-    for p, q in zip(a.order[i].tolist(), b.order[j].tolist()):
+    i, j = candidates(a, b, percent, False)
+    for p, q in zip(i.tolist(), j.tolist()):
         u, v = find(a.labels[p]), find(b.labels[q])
         if u != v and links(a.sets[p], b.sets[q], percent):
-            top_[max(u, v)] = min(u, v)
+            top[max(u, v)] = min(u, v)
             yield p, q
 
 
-def tree_links(stars_: DataFrame, checked: DataFrame, labels: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
-    """``(a, b)``: links that the stars didn't reach, from the signatures whose members are not in one component."""
-    k, percent, block, family = opts.words, opts.percent, opts.block, opts.family
-    label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
-    apart = (checked.filter("not linked").join(label("pivot"), "pivot", "left").join(label("member"), "member", "left")
-             .filter(F.coalesce("pivot_label", "pivot") != F.coalesce("member_label", "member")).select("pivot", "member"))
-    open_ = stars_.join(apart, ["pivot", "member"], "left_semi").select("sig").distinct()
-    members = (stars_.join(open_, "sig", "left_semi").select("sig", F.explode(F.array("pivot", "member")).alias("doc_id")).distinct()
-               .join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-               .select("sig", "doc_id", F.coalesce("component", "doc_id").alias("label")))
-    members = materialize(members, "members")
-    # Two members were a star's pair. Signatures that share members form a family, and one that fits a tree is joined once.
-    sizes = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.bit_xor(F.xxhash64("doc_id")).alias("x"))
-    sizes = materialize(sizes.filter("n > 2"), "sizes")
-    members = members.join(sizes, "sig")
-    kin = components(members.select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
-    placed = materialize(members.join(kin.withColumnRenamed("id", "doc_id"), "doc_id"), "placed")
-    each = placed.select("component", "doc_id", "label").distinct()
-    families = each.groupBy("component").agg(F.count("*").alias("m"))
-    small = each.join(families.filter(F.col("m") <= family), "component").select(F.col("component").alias("sig"), "doc_id", "label", F.lit(1).alias("blocks"))
-    # Larger families are joined signature by signature, those with the same members once.
-    large = placed.join(families.filter(F.col("m") > family), "component")
-    chosen = large.groupBy("n", "least", "x").agg(F.min("sig").alias("sig")).select("sig")
-    large = large.join(chosen, "sig", "left_semi").select("sig", "doc_id", "label", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    units = (small.unionByName(large).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("blocks")).cast("int"))
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements the sets ``a[i]`` and ``b[j]`` of each pair have in common."""
+    out = np.zeros(len(i), np.int64)
+    if not len(i):
+        return out
+    values, codes = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    codes = np.split(codes.astype(np.int32), np.cumsum([len(s) for s in [*a, *b]])[:-1])
+    mark, step = np.zeros(len(values), bool), max(1, 1_000_000 // max(1, max(map(len, b))))
+    order = np.argsort(i, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(i[order])) + 1, [len(i)]])
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        here = codes[i[order[start]]]
+        mark[here] = True
+        for s in range(start, end, step):
+            at = order[s:min(end, s + step)]
+            held = [codes[len(a) + q] for q in j[at].tolist()]
+            upto = np.concatenate([[0], np.cumsum(mark[np.concatenate(held)])])
+            ends = np.cumsum([len(h) for h in held])
+            out[at] = upto[ends] - upto[np.concatenate([[0], ends[:-1]])]
+        mark[here] = False
+    return out
+
+
+def all_links(a: Tree, b: Tree, percent: int):
+    """Every link between two trees as (places, places); of one tree with itself each pair once."""
+    i, j = candidates(a, b, percent, True)
+    common = overlaps(a.sets, b.sets, i, j)
+    n, m = (np.array([len(s) for s in t.sets]) for t in (a, b))
+    keep = 100 * common >= percent * (n[i] + m[j] - common)
+    return i[keep], j[keep]
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``n`` places is joined with."""
+    top = np.arange(n)
+    while True:
+        low, before = np.minimum(top[i], top[j]), top.copy()
+        np.minimum.at(top, i, low)
+        np.minimum.at(top, j, low)
+        top = top[top]
+        if (top == before).all():
+            return top
+
+
+def tree_links(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
+    """``(a, b, n)``: edges that join the components of classes and, without ``b``, parts of the number of rows that class ``a`` links with."""
+    k, percent, block, family, count = opts.words, opts.percent, opts.block, opts.family, opts.count
+    kin = materialize(components(met.select(F.col("pivot").alias("a"), F.col("member").alias("b"))).withColumnRenamed("id", "cid"), "kin")
+    sizes = materialize(kin.groupBy("component").agg(F.count("*").alias("m")), "families")
+    small = kin.join(sizes.filter(F.col("m") <= family), "component").select(
+        F.col("component").alias("sig"), "cid", F.lit(None).cast("long").alias("owner"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    # Larger families are joined signature by signature, those with the same members once, under the smallest.
+    wide = kin.join(sizes.filter(F.col("m") > family), "component").select(F.col("cid").alias("pivot"))
+    placed = met.join(wide, "pivot", "left_semi").select("sig", F.explode(F.array("pivot", "member")).alias("cid")).distinct()
+    placed = materialize(placed, "members")
+    each = placed.groupBy("sig").agg(F.count("*").alias("n"), F.min("cid").alias("least"), F.bit_xor(F.xxhash64("cid")).alias("x"))
+    chosen = each.groupBy("n", "least", "x").agg(F.min("sig").alias("sig")).select("sig", "n")
+    large = placed.join(chosen, "sig").select("sig", "cid", F.col("sig").alias("owner"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = materialize(small.unionByName(large).join(classes, "cid"), "placed")
+    units = (members.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "cid"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("sig", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label"))
-    rows = units.join(df.select(F.col("doc_id").cast("long"), "text").join(placed.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    rows = rows.select(F.xxhash64("sig", "blocks").alias("unit"), "i", "j", "own", "doc_id", "label", "text") \
+             .select("sig", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "size", "owner"))
+    texts = materialize(class_texts(members.select("cid", "rep").distinct(), df, opts), "texts")
+    rows = units.join(texts, "cid").select(
+        F.xxhash64("sig", "blocks", F.col("owner").isNull()).alias("unit"), "i", "j", "own", "cid", "size", "owner", "text") \
         .repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
 
     def unit(held):
+        """Parts of columns a, b, n."""
         bits = 64
         while bits < 4 * max(len(r[3]) for r in held) and bits < 1 << 16:
             bits *= 2
-        sides = [[r for r in held if r[0] == own] for own in sorted({r[0] for r in held})]
-        trees = [Tree([r[3] for r in side], [r[2] for r in side], bits) for side in sides]
-        if held[0][4] == held[0][5]:
-            return [(sides[0][p][1], sides[0][q][1]) for p, q in traverse(trees[0], trees[0], percent)]
-        if len(sides) < 2:
+        _, _, _, _, i, j, owner = held[0]
+        sides = [[r for r in held if r[0] == own] for own in ((i,) if i == j else (i, j))]
+        if not all(sides):
             return []
-        return [(sides[0][p][1], sides[1][q][1]) for p, q in traverse(trees[0], trees[1], percent)]
+        trees = [Tree([r[3] for r in side], [r[1] for r in side], bits) for side in sides]
+        ids = [np.array([r[1] for r in side], np.int64) for side in sides]
+        if not count:
+            found = np.array(list(traverse(trees[0], trees[-1], percent)), np.int64).reshape(-1, 2)
+            return [(ids[0][found[:, 0]], ids[-1][found[:, 1]], np.zeros(len(found), np.int64))]
+        p, q = all_links(trees[0], trees[-1], percent)
+        shift = 0 if i == j else len(sides[0])
+        both = ids[0] if i == j else np.concatenate(ids)
+        top = roots(len(both), p, q + shift)
+        moved = np.flatnonzero(top != np.arange(len(both)))
+        if owner is not None:
+            # A pair with a smaller common signature counts there.
+            less = [[x[x < owner] for x in (signatures(s, percent).view(np.int64) for s in t.sets)] for t in trees]
+            once_ = overlaps(less[0], less[-1], p, q) == 0
+            p, q = p[once_], q[once_]
+        rows_of = np.array([r[2] for side in sides for r in side], np.int64)
+        n = np.zeros(len(both), np.int64)
+        np.add.at(n, p, rows_of[q + shift])
+        np.add.at(n, q + shift, rows_of[p])
+        some = np.flatnonzero(n)
+        return [(both[moved], both[top[moved]], np.zeros(len(moved), np.int64)), (both[some], None, n[some])]
 
     def run(batches):
         key, held = None, []
+
+        def batches_of(parts):
+            for a, b, n in parts:
+                if len(a):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
         for batch in batches:
-            found = []
-            for sig, i, j, own, doc_id, lab, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (sig, i, j) != key:
-                    found += unit(held) if held else []
-                    key, held = (sig, i, j), []
-                held.append((own, doc_id, lab, shingles(text, k), i, j))
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+            for at, i, j, own, cid, size, owner, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (at, i, j) != key:
+                    if held:
+                        yield from batches_of(unit(held))
+                    key, held = (at, i, j), []
+                held.append((own, cid, size, shingles(text, k), i, j, owner))
         if held:
-            found = unit(held)
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+            yield from batches_of(unit(held))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, n long")
 
 
 def join(df: DataFrame, opts: JaccardOptions = JaccardOptions()) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row of ``df (doc_id, text)``."""
+    """``(doc_id, n_shingles, n_links, component_id)`` of every row of ``df (doc_id, text)``."""
     rows = materialize(describe(df, opts), "shingles")
-    known = rows.filter("digest is not null and doc_id is not null")
-    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    known = rows.filter("cid is not null and doc_id is not null")
+    classes = materialize(known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     met = materialize(stars(df, total, opts), "stars")
-    checked = materialize(verify(met.select("pivot", "member").distinct(), df, opts), "checked")
-    reps = known.join(classes, "digest").select("doc_id", "rep")
-    involved = checked.select(F.explode(F.array("pivot", "member")).alias("doc_id")).distinct()
-    reps = materialize(reps.join(involved, "doc_id", "left_semi").distinct(), "reps")
-
-    def edges(found):
-        named = found.join(reps.withColumnsRenamed({"doc_id": "a", "rep": "ra"}), "a").join(reps.withColumnsRenamed({"doc_id": "b", "rep": "rb"}), "b")
-        return named.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    first = checked.filter("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-    labels = components(edges(first))
-    by_doc = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
-    more = materialize(tree_links(met, checked, by_doc, df, opts), "tree-links")
-    if more.limit(1).count():
-        labels = components(edges(first.unionByName(more)))
-    final = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("linked"))
-    return rows.join(final, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "doc_id")).alias("component_id"))
+    found = materialize(tree_links(met, classes, df, opts), "tree-links")
+    reps = classes.select("cid", "rep")
+    edges = (found.filter("b is not null").select("a", "b").distinct()
+             .join(reps.withColumnsRenamed({"cid": "a", "rep": "ra"}), "a").join(reps.withColumnsRenamed({"cid": "b", "rep": "rb"}), "b")
+             .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    shared = known.groupBy("doc_id").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y")
+    shared = known.join(shared, "doc_id", "left_semi").join(reps, "cid").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = components(edges.unionByName(shared).filter("a <> b").distinct())
+    counts = found.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
+    final = (classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(counts, "cid", "left")
+             .select("cid", F.coalesce("component", "rep").alias("linked"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
+    mine = F.col("doc_id").isNotNull()
+    out = rows.join(final, "cid", "left").select(
+        "doc_id", "n_shingles", F.when(mine, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(mine, F.coalesce("linked", "doc_id")).alias("component_id"))
+    return out if opts.count else out.drop("n_links")

@@ -87,6 +87,33 @@ def test_chain_of_near_copies_needs_the_trees(spark):
         assert got == plain_components(texts, 3, 90)
 
 
+def plain_links(texts, k, percent):
+    sets = [set(map(tuple, (w[i:i + k] for i in range(max(1, len(w) - k + 1))))) if w else set() for w in ((t or "").lower().split() for t in texts)]
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= percent * len(a | b)
+    return {i: sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+
+
+def test_every_link_is_counted_once(spark):
+    """Triangles, exact copies and a group of near copies that all link, in families of one unit, of blocks and by signature."""
+    r = random.Random(5)
+    texts = texts_for_links(r)
+    base = ["g" + str(i) for i in range(150)]
+    for _ in range(30):
+        base[r.randrange(150)] = "n" + str(r.randrange(10**9))
+        near = list(base)
+        near[r.randrange(150)] = "x"
+        texts += [" ".join(near)] * r.choice([1, 1, 3])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want, groups = plain_links(texts, 3, 90), plain_components(texts, 3, 90)
+    assert sum(want.values()) > 2 * (len(texts) - len({c for _, c in groups.values()}))  # more links than components need
+    for family, block in ((4, 4), (4096, 8), (4096, 512)):
+        got = jaccard.join(df, jaccard.JaccardOptions(3, 90, flush=500, family=family, block=block)).collect()
+        assert {x.doc_id: x.n_links for x in got} == want
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == groups
+    alone = jaccard.join(df, jaccard.JaccardOptions(3, 90, flush=500, family=4, block=4, count=False))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in alone.collect()} == groups and "n_links" not in alone.columns
+
+
 def test_signature_trees_find_every_link():
     r = random.Random(3)
     sets = [np.unique(np.array([r.randrange(2**60) for _ in range(r.randint(5, 60))], np.uint64)) for _ in range(40)]
