@@ -114,6 +114,20 @@ def test_every_link_is_counted_once(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in alone.collect()} == groups and "n_links" not in alone.columns
 
 
+def test_pairs_and_stars_of_copies_go_through_the_trees(spark):
+    """A signature with two members, and a star whose pairs all link, are joined by trees in both modes."""
+    base = {g: [f"{g}{i}" for i in range(200)] for g in "ab"}
+    texts = [" ".join(base["a"]), " ".join(base["a"][:-1])] + [" ".join(base["b"][:n]) for n in (200, 199, 198, 197)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for count in (True, False):
+        opts = jaccard.JaccardOptions(3, 90, count=count)
+        classes = jaccard.describe(df, opts).select("cid", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("size"))
+        rep = {x.cid: x.rep for x in classes.collect()}
+        found = jaccard.tree_links(jaccard.stars(df, 1000, opts), classes, df, opts).collect()
+        assert {rep[x.a] for x in found} | {rep[x.b] for x in found if x.b is not None} == set(range(6))
+        assert sum(x.n for x in found if x.b is None) == (2 * (1 + 6) if count else 0)
+
+
 def test_signature_trees_find_every_link():
     r = random.Random(3)
     sets = [np.unique(np.array([r.randrange(2**60) for _ in range(r.randint(5, 60))], np.uint64)) for _ in range(40)]
