@@ -4,7 +4,7 @@
 2. Two sets of at most ``m`` shingles that link differ in at most D shingles. The hash range is cut into parts, and each set sends a
    signature for its first D + 1 parts that aren't empty; at least one of them is untouched by the differences, so linked
    sets share a signature. Sizes fall into intervals that grow by half; a set takes part in its own and, near the end,
-   in the next. No link is lost and no frequent shingle by itself brings documents together, since a part must agree as a whole.
+   in the next. In the small intervals each shingle is a part, which loses nothing even where hashes lie close. No link is lost and no frequent shingle by itself brings documents together, since a part must agree as a whole.
 3. Classes with a common signature meet, first within a batch and then over all, as pairs of the smallest class and the others.
 4. The members of every shared signature are joined by signature trees: nodes hold OR-combined token bitmaps and size ranges; a dual
    traversal drops node pairs whose largest possible overlap is too small, and verifies what is left. Signatures with common members
@@ -90,6 +90,9 @@ def intervals(n: int) -> tuple[int, int]:
     return i, up - 1
 
 
+SINGLE = 32  # sets of intervals up to this size send shingles themselves
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     n, out = len(s), []
     if not n:
@@ -98,7 +101,10 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     mixed, largest = mix(s ^ np.uint64(0x9E3779B97F4A7C15)), 100 * n // percent
     while True:
         differ = (100 - percent) * (n + min(last, largest)) // (100 + percent)
-        if differ:
+        if differ and last <= SINGLE:
+            # Of small sets the shingles are the parts: the smallest common one has at most D others before it in both sets together.
+            out.append(mix(mixed[:differ + 1] + np.uint64((i + 1) * int(_M1) % (1 << 64))))
+        elif differ:
             parts = max(64, -(-27 * (100 - percent) * last // (10 * (100 + percent))))
             # Sets are sorted and parts are ranges of hashes, so each part is one run.
             part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)

@@ -156,6 +156,16 @@ def test_linked_sets_share_a_signature():
                 assert set(jaccard.signatures(x, percent).tolist()) & set(jaccard.signatures(y, percent).tolist())
 
 
+def test_small_sets_in_one_range_share_a_signature():
+    """Hashes that all lie in one range leave fewer ranges than signatures; the difference lies in that range too."""
+    for n, percent in ((4, 80), (5, 80), (6, 80), (9, 90), (12, 80)):
+        a = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(977)
+        for extra in (0, 5, 10**6):
+            b = np.unique(np.append(a, np.uint64(extra)))
+            assert jaccard.links(a, b, percent)
+            assert set(jaccard.signatures(a, percent).tolist()) & set(jaccard.signatures(b, percent).tolist())
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (7, "A B C D"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x"))
