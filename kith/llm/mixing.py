@@ -16,7 +16,8 @@ gives an empty result; other columns are left out.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ from kith.llm.common import WORD, hash60
 from kith.sources.workspace import materialize
 
 
+SHARD_BYTES = 64 << 20  # of text in a shard, about
+
+
 @dataclass(frozen=True)
 class MixOptions:
     weights: tuple = (5, 2, 1)   # by the order of the sources, repeating
@@ -161,8 +165,14 @@ def mix(df: DataFrame, opts: MixOptions = MixOptions()) -> DataFrame:
                                        F.xxhash64(F.lit(opts.seed), F.col("h"), d["pass"]).alias("place"))).alias("draws"))
 
 
-def emit(mixed: DataFrame) -> DataFrame:
+def emit(mixed: DataFrame, columns: tuple | list = ("doc_id", "source", "size")) -> DataFrame:
     """One row for each time a document is taken, dealt by shard and shuffled within it."""
-    rows = mixed.select("doc_id", "source", "size", F.explode("draws").alias("d")) \
-        .select("doc_id", "source", "size", F.col("d.pass").alias("pass"), F.col("d.shard").alias("shard"), F.col("d.place").alias("place"))
+    rows = mixed.select(*columns, F.explode("draws").alias("d")) \
+        .select(*columns, F.col("d.pass").alias("pass"), F.col("d.shard").alias("shard"), F.col("d.place").alias("place"))
     return rows.repartition("shard").sortWithinPartitions("shard", "place")
+
+
+def sized_options(total_bytes: int, opts: MixOptions = MixOptions()) -> MixOptions:
+    """Options with as many shards as ``total_bytes`` need, at least those of ``opts``, and blocks enough to fill them."""
+    levels = max(opts.levels, math.ceil(math.log2(max(1, total_bytes / SHARD_BYTES))))
+    return replace(opts, levels=levels, blocks=max(opts.blocks, 16 << levels))

@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kith.llm import pii, quality
+from kith.llm import mixing, pii, quality
 from kith.llm.queries import ORACLES, QUERIES
 from tests.check_oracles import compare, views
 
@@ -50,3 +51,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(drawn) <= ids and max(map(drawn.count, set(drawn))) <= 3
     before, after = kept["tokens"]
     assert after.count() == before.count() and "ids" in after.columns
+
+
+def test_mix_is_dealt_to_shards_and_shuffled(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = {}
+    for x in mixing.mix(docs).collect():
+        for d in x.draws:
+            want.setdefault(d.shard, []).append((d.place, x.doc_id))
+    assert len(want) == 16
+    parts = {}
+    for x in corpus_pipeline.mix_sources(spark, docs, FOLDER).withColumn("part", F.spark_partition_id()).collect():
+        parts.setdefault(x.part, []).append(x.doc_id)
+    found = [",".join(map(str, ["", *ids, ""])) for ids in parts.values()]
+    for drawn in want.values():
+        run = ",".join(map(str, ["", *(i for _, i in sorted(drawn)), ""]))
+        assert any(run in f for f in found)
+    assert sum(map(len, parts.values())) == sum(map(len, want.values()))
+    more = mixing.sized_options(30 << 30)
+    assert mixing.sized_options(0) == mixing.MixOptions() and (1 << more.levels) * mixing.SHARD_BYTES >= 30 << 30
