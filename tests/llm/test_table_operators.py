@@ -1,9 +1,11 @@
 """Sharding, mixing, nearest neighbours and near duplicates against plain versions."""
 
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kith.llm import jaccard, mixing, multi_index, sharding
@@ -274,3 +276,28 @@ def test_nearest_neighbours(spark):
     assert hits / (10 * len(got)) >= 0.9
     whole = multi_index.search(df.limit(0), df, "vec_id", "embedding", opts)
     assert whole.count() == 0 and whole.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_recall_of_the_registered_search(spark):
+    """The default options on a whole given table, half of it without clusters, against brute force in blocks."""
+    folder = "/root/testdata/check_s"  # larger than reach, so that not all of it is scanned
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    assert recall(spark, folder) >= 0.9
+
+
+def recall(spark, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    rows = multi_index.usable(vectors, "vec_id", "embedding").collect()
+    ids, x = np.array([r.id for r in rows]), np.array([r.v for r in rows])
+    got, k = defaultdict(set), multi_index.MultiIndexOptions().k
+    for g in multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"), "vec_id", "embedding").collect():
+        got[g.query_id].add(g.vec_id)
+    queries, hits, all_ = np.flatnonzero(ids % 20 == 0), 0, 0
+    for block in np.array_split(queries, max(1, len(queries) // 256)):
+        scores = np.round(x[block] @ x.T, 9)
+        for q, s in zip(block, scores):
+            s[ids == ids[q]] = -np.inf
+            best = set(ids[np.lexsort((ids, -s))[:k]].tolist())
+            hits, all_ = hits + len(best & got[ids[q]]), all_ + len(best)
+    return hits / all_
