@@ -70,3 +70,11 @@ def test_mix_is_dealt_to_shards_and_shuffled(spark):
     assert sum(map(len, parts.values())) == sum(map(len, want.values()))
     more = mixing.sized_options(30 << 30)
     assert mixing.sized_options(0) == mixing.MixOptions() and (1 << more.levels) * mixing.SHARD_BYTES >= 30 << 30
+
+
+def test_near_duplicates_tell_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (1, a), (5, a + " more"), (5, b), (None, b), (None, c), (None, c), (9, None), (9, None), (None, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (5, b), (None, c), (9, None), (9, None), (None, " ")], key=str)
