@@ -42,6 +42,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.text, self.tokens, self.linked, self.marked = ["#root"], [-1], [None], [()], [0], [0]
+        self._deep: list[str] = []  # open elements beyond the stack's bound
         self._stack, self._words, self._link, self._hide, self._chars, self._bold = [0], [], 0, 0, 0, 0
         at, lower = 0, None
         while at < len(source):
@@ -110,13 +111,18 @@ class Page:
             return
         if name in _CLOSES_ITSELF:
             stop = _CLOSES_ITSELF[name]
-            for k in range(len(stack) - 1, 0, -1):
+            deep = next((k for k in range(len(self._deep) - 1, -1, -1) if self._deep[k] == name or self._deep[k] in stop), None)
+            if deep is not None and self._deep[deep] not in stop:
+                self._shut(deep)
+            for k in range(len(stack) - 1, 0, -1) if deep is None else ():
                 if self.tag[stack[k]] in stop:
                     break
                 if self.tag[stack[k]] == name:
                     self._pop(k)
                     break
-        while self.tag[stack[-1]] == "p":  # a block ends an open paragraph
+        while self._deep and self._deep[-1] == "p":
+            self._shut(len(self._deep) - 1)
+        while not self._deep and self.tag[stack[-1]] == "p":  # a block ends an open paragraph
             self._pop(len(stack) - 1)
         tokens = ()
         if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "=" in attributes):
@@ -124,10 +130,18 @@ class Page:
         self._add(name, stack[-1], None, tokens)
         if len(stack) < 400:  # deeper elements stay siblings
             stack.append(len(self.tag) - 1)
-            self._hide += name in HIDDEN
-            self._link = 0
+        else:
+            self._deep.append(name)
+        self._hide += name in HIDDEN
+        self._link = 0
+
+    def _shut(self, k):
+        for name in self._deep[k:]:
+            self._hide -= name in HIDDEN
+        del self._deep[k:]
 
     def _pop(self, k):
+        self._shut(0)
         for i in self._stack[k:]:
             self._hide -= self.tag[i] in HIDDEN
         del self._stack[k:]
@@ -139,6 +153,12 @@ class Page:
             elif name == "br":
                 self._words.append(" ")
             return
+        for k in range(len(self._deep) - 1, -1, -1):
+            if self._deep[k] == name:
+                self._end_block()
+                self._shut(k)
+                self._link = 0
+                return
         for k in range(len(self._stack) - 1, 0, -1):
             if self.tag[self._stack[k]] == name:
                 self._end_block()

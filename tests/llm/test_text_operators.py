@@ -184,3 +184,16 @@ def test_records_round_trip(spark, tmp_path):
     assert {(x.doc_id, len(x.ids)) for x in mixed} == {(x.doc_id, x.n_tokens) for x in got}
     with pytest.raises(ValueError):
         records.parse(b"\x01" + records.frame(1, b"\x01\x00", False)[1:], 0)
+
+
+def test_end_tags_of_elements_beyond_the_bound_close_no_ancestor():
+    from kith.llm import dom
+
+    page = dom.Page("<article>" + "<div>" * 450 + "deep" + "</div>" * 450 + "<p>later</p></article>after")
+    at = page.text.index("later")
+    assert page.tag[page.parent[page.parent[at]]] == "article" and page.tag[page.parent[page.text.index("after")]] != "article"
+    page = dom.Page("<div>" * 420 + "</div>" * 40 + "inside" + "</div>" * 380)
+    depth, at = 0, page.text.index("inside")
+    while (at := page.parent[at]) > 0:
+        depth += 1
+    assert depth == 380
