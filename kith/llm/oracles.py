@@ -7,6 +7,12 @@ from kith.llm.mixing import MixOptions
 from kith.llm.quality import CLASSES, FAULTS, PRIOR, WEIGHT, start
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all(coalesce({lower}, ''), '{_TERM}')"
 
 
 def chat_sql(o: ChatOptions = ChatOptions()) -> str:
@@ -132,3 +138,18 @@ t AS (SELECT *, unnest(range(0, 61)) AS depth FROM d),
 p AS (SELECT *, h >> (60 - depth) AS bits, CAST(sum(n_bytes) OVER (PARTITION BY depth, h >> (60 - depth)) AS BIGINT) AS bytes FROM t)
 SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth, bits, 0 AS chain
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS r FROM p WHERE bytes <= {limit}) WHERE r = 1"""
+
+
+def search_sql(top: int = 10, b: int = 75) -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms('text')} AS ts FROM documents),
+n AS (SELECT r, doc_id, ts, len(ts) AS n FROM d WHERE len(ts) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM n) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - {b} + ({b} * n.n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (r), total GROUP BY item_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN n USING (r) WHERE score > 0)
+WHERE rank <= {top}"""

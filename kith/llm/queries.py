@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kith.llm import chat, html_extract, jaccard, mixing, multi_index, pii, quality, records, sentencepiece, sharding
+from kith.llm import chat, html_extract, jaccard, lexical, mixing, multi_index, pii, quality, records, sentencepiece, sharding
 from kith.llm.common import documents
-from kith.llm.oracles import chat_sql, mixing_sql, quality_sql, sharding_sql
+from kith.llm.oracles import chat_sql, mixing_sql, quality_sql, search_sql, sharding_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -89,3 +89,9 @@ def op8_multi_index(spark: SparkSession, folder: str) -> DataFrame:
 @query(sharding_sql(sharding.ShardOptions().limit))
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(documents(spark, folder))
+
+
+@query(search_sql())
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = lexical.build(documents(spark, folder))
+    return lexical.search(index, documents(spark, folder, "benchmark"))
