@@ -153,3 +153,54 @@ s AS (SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf +
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN n USING (r) WHERE score > 0)
 WHERE rank <= {top}"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC of an ASCII text, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: {step}), 4294967295)"
+
+
+def manifest_sql(levels: int = 8, tops: int = 4) -> str:
+    """The trees level by level; ``levels`` and ``tops`` are enough for 8^levels rows of a language and 8^tops languages."""
+    framed = lambda v: f"coalesce(CAST(strlen(CAST({v} AS VARCHAR)) AS VARCHAR) || ':' || CAST({v} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [f"""d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(lower)} END AS found FROM documents)""",
+            """p AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d)""",
+            """l0 AS (SELECT g, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p)""",
+            """c0 AS (SELECT doc_id, g, pos, leaf, coalesce(found, leaf) AS x, '' AS sibs FROM p)"""]
+
+    def climb(first, last, nodes, chain):
+        for i in range(first, last):
+            ctes.append(f"r{i} AS MATERIALIZED (SELECT g, pos // 8 AS run, any_value(n) AS n, list(h ORDER BY pos) AS hs FROM {nodes} GROUP BY 1, 2)")
+            ctes.append(f"l{i + 1} AS (SELECT g, run AS pos, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE 1 END AS n FROM r{i})")
+            left, right = f"array_to_string(hs[:{chain}.pos % 8], '')", f"array_to_string(hs[{chain}.pos % 8 + 2:], '')"
+            ctes.append(f"""c{i + 1} AS (SELECT {chain}.* EXCLUDE (pos, x, sibs), {chain}.pos // 8 AS pos, CASE WHEN n > 1 THEN sha256({left} || x || {right}) ELSE x END AS x,
+                sibs || CASE WHEN n > 1 THEN {left} || {right} ELSE '' END AS sibs FROM {chain} JOIN r{i} ON r{i}.g = {chain}.g AND run = {chain}.pos // 8)""")
+            nodes, chain = f"l{i + 1}", f"c{i + 1}"
+        return nodes, chain
+
+    nodes, chain = climb(0, levels, "l0", "c0")
+    ctes.append(f"t AS (SELECT 0 AS g, g AS pos, h, count(*) OVER () AS n FROM {nodes})")
+    ctes.append(f"u AS (SELECT {chain}.doc_id, leaf, t.h AS subroot, 0 AS g, t.pos, x, sibs FROM {chain} JOIN t ON t.pos = {chain}.g)")
+    nodes, chain = climb(levels + 1, levels + 1 + tops, "t", "u")
+    return f"""WITH {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(sibs) AS proof_sha256, x AS folded_root, x = h AS verified FROM {chain}, {nodes}"""
+
+
+def decontamination_sql(phrase: int = 10) -> str:
+    """Every run of words of every length that a phrase has, beside the phrases."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms('text')} AS ws FROM documents),
+b AS (SELECT item_id, {_terms('text')} AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(ws), {phrase}) AS k, array_to_string(ws[i:i + {phrase} - 1], ' ') AS phrase
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - {phrase} + 1, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+g AS (SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM p) WHERE len(ws) >= k)),
+f AS (SELECT r, g.i, g.k, item_id FROM g JOIN p ON p.k = g.k AND p.phrase = g.phrase),
+hits AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, unnest(range(0, k)) AS o FROM (SELECT DISTINCT r, i, k FROM f)) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM f WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kith.llm import chat, html_extract, jaccard, lexical, mixing, multi_index, pii, quality, records, sentencepiece, sharding
+from kith.llm import chat, fm_index, html_extract, jaccard, lexical, manifest, mixing, multi_index, pii, quality, records, sentencepiece, sharding
 from kith.llm.common import documents
-from kith.llm.oracles import chat_sql, mixing_sql, quality_sql, search_sql, sharding_sql
+from kith.llm.oracles import chat_sql, decontamination_sql, manifest_sql, mixing_sql, quality_sql, search_sql, sharding_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -95,3 +95,20 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     index = lexical.build(documents(spark, folder))
     return lexical.search(index, documents(spark, folder, "benchmark"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents, and what a copy of them with some texts changed folds to."""
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return manifest.verify(manifest.manifest(documents(spark, folder), F.when(chosen, F.translate("text", UPPER, LOWER))))
+
+
+@query(decontamination_sql())
+def op13_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = fm_index.search(fm_index.build(documents(spark, folder)), documents(spark, folder, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
