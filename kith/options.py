@@ -39,3 +39,24 @@ class EmbedOptions:
     dim: int = 64
     text_col: str = "row_as_text"
     vector_col: str = "embedding"
+
+
+@dataclass(frozen=True)
+class GraphOptions:
+    """How a neighbour graph is built and searched; recall grows with ``degree`` and ``beam``, cost with them and ``expand``."""
+
+    metric: str = "cosine"     # cosine | l2
+    degree: int = 16           # neighbours a node keeps
+    orders: int = 4            # directions whose orders give the first neighbours
+    rounds: int = 8            # rounds of descent at most
+    settled: float = 0.01      # rounds end when at most this share of the edges is new
+    entry_factor: float = 4.0  # entry nodes, in square roots of the number of nodes
+    beam: int = 64             # nodes a search keeps for a seed
+    expand: int = 16           # nodes of a beam opened in one step
+    steps: int = 12            # steps at most
+    broadcast_bytes: int = 64 << 20  # a larger graph is searched by joins
+    seed: int = 42             # of the directions
+
+    def __post_init__(self):
+        if self.metric not in ("cosine", "l2"):
+            raise ValueError(f"unknown metric: {self.metric}")

@@ -17,6 +17,7 @@ from kith.operators import rerank as R
 from kith.operators import shape, vote
 from kith.operators.cells import knn_join_cells, read_cells, write_cells
 from kith.operators.embed import HashEmbedder, TokenJaccard, embed
+from kith.operators.graph import knn_join_graph, read_graph, write_graph
 from kith.operators.index import build_index, project_2d
 from kith.operators.sets import attach_label
 from kith.options import KnnOptions
@@ -168,6 +169,25 @@ def knn_lsh_topk(spark, sf):
     return shown(N.knn_join_approx(v, v, K_VECTORS, hashes=2, bucket=0.5))
 
 
+def _by_graph(seeds_, index, spark, k):
+    path = new_folder(spark, "graph")
+    write_graph(index, path)
+    return knn_join_graph(seeds_, read_graph(spark, path), k)
+
+
+@query()
+def knn_graph_topk(spark, sf):
+    """Nearly ``knn_cosine_topk``: a test holds the share found at 0.9 or more."""
+    v = vectors(spark, sf)
+    return shown(_by_graph(v, v, spark, K_VECTORS))
+
+
+@query(f"WITH {party_pairs()} SELECT {PAIR_COLUMNS} FROM p")
+def knn_graph_parties(spark, sf):
+    """Row texts have few distinct vectors, of which the walk misses none."""
+    return shown(_by_graph(embedded(seeds(spark, sf)), embedded(corpus(spark, sf)), spark, K_PARTIES))
+
+
 @query(f"""WITH g AS (SELECT label, list(m ORDER BY i) AS embedding FROM (
              SELECT label, i, avg(x::DOUBLE) AS m FROM (
                SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)
