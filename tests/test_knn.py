@@ -269,3 +269,36 @@ def test_ids_of_other_types(spark):
         assert sorted((int(r.seed_id), r.rank, int(r.neighbor_id)) for r in got.collect()) == want
     dated = df.withColumn("id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")))
     assert N.knn_join(dated, dated, 3).count() == 36
+
+
+def test_overlap_opens_common_tokens_only_where_they_matter(spark, monkeypatch):
+    """Rows that go through the commonest token, counted: none where rare tokens fill the k best, those of fitting sizes elsewhere."""
+    rng = np.random.default_rng(4)
+    corpus = [{"all", f"city{i % 60}", f"job{i % 7}"} for i in range(1200)] + [{"all"} | {f"x{j}" for j in rng.integers(400, size=30)} for _ in range(600)]
+    seeds = [{"all", f"city{i}", f"job{i % 7}"} for i in range(40)] + [{"all", "city3", "unheard", "of"}, {"all", "odd"}, {"all"}, {"nowhere"}]
+    options = KnnOptions(plan="partitioned")
+    asked, keyed = [], N._keyed
+    monkeypatch.setattr(N, "_keyed", lambda s, c, *a: (asked.append((s, c)), keyed(s, c, *a))[1])
+    frames = token_frame(spark, seeds), token_frame(spark, corpus)
+    got = rows(N.overlap_join(*frames, 5, options))
+    want = set()
+    for i, a in enumerate(seeds):
+        scored = sorted((-round(len(a & b) / np.sqrt(len(a) * len(b)), 9), j) for j, b in enumerate(corpus) if a & b)
+        want |= {(i, j, r + 1, round(-s, 6)) for r, (s, j) in enumerate(scored[:5])}
+    assert got == want
+    (first_seeds, _), (further_seeds, lifted) = asked
+    through = lambda df: df.filter("key = 'all'").count()
+    assert through(first_seeds) == 2  # the seeds whose other tokens the corpus lacks
+    assert through(further_seeds) + through(first_seeds) < 10 < len(seeds)
+    assert through(lifted) <= 1200  # rows of 30 tokens can't be lifted by it
+    asked.clear()
+    only = token_frame(spark, seeds[:40])
+    N.overlap_join(only, frames[1], 5, options).collect()
+    assert all(through(s) == 0 for s, _ in asked)
+
+
+def test_overlap_ignores_repeated_and_null_tokens(spark):
+    df = spark.createDataFrame([(0, ["a", "b", "a", None]), (1, ["a", "b"]), (2, [None]), (3, None), (4, ["b", "c", "d", "e"])], "id long, tokens array<string>")
+    for plan in ("broadcast", "partitioned"):
+        got = rows(N.overlap_join(df.filter("id in (0, 2, 3)"), df, 9, KnnOptions(plan=plan)))
+        assert got == {(0, 0, 1, 1.0), (0, 1, 2, 1.0), (0, 4, 3, round(1 / 8 ** 0.5, 6))}
