@@ -291,11 +291,13 @@ class SeedBlock:
             names=["seed_id", "neighbor_id", "score"])
 
 
-def stream_past(metric, k, seed_ids, seed_vectors, exclude_self):
-    """mapInArrow function: all corpus batches of a partition past one broadcast seed block."""
+def stream_past(metric, k, seed_ids, seed_vectors, exclude_self, floors=None):
+    """mapInArrow function: all corpus batches of a partition past one broadcast seed block; rows below a seed's floor are left out."""
 
     def run(batches):
         block = SeedBlock(metric, k, seed_ids.value, seed_vectors.value, exclude_self)
+        if floors is not None:
+            block.best.floor = floors.value.copy()
         for batch in batches:
             batch = usable(batch, metric)
             block.stream(batch.column(0), batch.column(1))

@@ -22,12 +22,17 @@ class KnnOptions:
     max_pivots: int = 1024            # pivots of the partitioned plan
     seed_block_rows: int = 4096       # seeds in one block
     corpus_block_rows: int = 262_144  # corpus rows streamed past one seed block by one task
+    corpus: str = "auto"              # of the partitioned plan: auto (by estimated cost) | moved | in_place
+    floor_share: int = 32             # one row in so many is sampled for floors; 0 for no floors
+    floor_rows: int = 200_000         # seeds x k from which on floors are worth a sample
 
     def __post_init__(self):
         if self.metric not in ("cosine", "l2"):
             raise ValueError(f"unknown metric: {self.metric}")
         if self.plan not in ("auto", "broadcast", "partitioned"):
             raise ValueError(f"unknown plan: {self.plan}")
+        if self.corpus not in ("auto", "moved", "in_place"):
+            raise ValueError(f"unknown way of the corpus: {self.corpus}")
 
     def seed_rows(self, k: int, limit: int) -> int:
         """Seeds one task may serve when it keeps ``k`` candidates for each."""

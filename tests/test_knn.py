@@ -9,7 +9,8 @@ from kith.operators import kernels
 from kith.operators import knn as N
 
 SMALL = dict(seed_block_rows=7, corpus_block_rows=20)
-PLANS = [dict(plan="broadcast"), dict(plan="partitioned"), dict(plan="partitioned", **SMALL)]
+PLANS = [dict(plan="broadcast"), dict(plan="partitioned"), dict(plan="partitioned", **SMALL), dict(plan="partitioned", corpus="moved", **SMALL),
+         dict(plan="partitioned", corpus="in_place", running_rows=70), dict(plan="broadcast", floor_rows=1, floor_share=3)]
 
 
 def frame(spark, vectors, ids=None, parts=3):
@@ -302,3 +303,30 @@ def test_overlap_ignores_repeated_and_null_tokens(spark):
     for plan in ("broadcast", "partitioned"):
         got = rows(N.overlap_join(df.filter("id in (0, 2, 3)"), df, 9, KnnOptions(plan=plan)))
         assert got == {(0, 0, 1, 1.0), (0, 1, 2, 1.0), (0, 4, 3, round(1 / 8 ** 0.5, 6))}
+
+
+def test_floors_cut_what_is_merged(spark, monkeypatch):
+    """k = 2000: tasks emit what is at or above a sample's k-th best score, not k rows each."""
+    rng = np.random.default_rng(6)
+    corpus, seeds = rng.normal(size=(24_000, 6)), rng.normal(size=(12, 6))
+    c, s = frame(spark, corpus, parts=16), frame(spark, seeds)
+    emitted, ranked = [], N._ranked
+    monkeypatch.setattr(N, "_ranked", lambda winners, k, **more: (emitted.append(winners.count()), ranked(winners, k, **more))[1])
+    plain = rows(N.knn_join(s, c, 2000, KnnOptions(plan="broadcast", floor_share=0)))
+    with_floors = rows(N.knn_join(s, c, 2000, KnnOptions(plan="broadcast", floor_share=4, floor_rows=1)))
+    assert plain == with_floors and len(plain) == 12 * 2000
+    without, sample, kept = emitted
+    assert without == 12 * len(corpus) and kept < without / 2
+
+
+def test_unprunable_corpus_stays_in_place(spark):
+    rng = np.random.default_rng(7)
+    seeds, corpus = rng.normal(size=(300, 12)), rng.normal(size=(900, 12))
+    options = KnnOptions(plan="partitioned", seed_block_rows=64)
+    got = N.knn_join(frame(spark, seeds), frame(spark, corpus), 4, options)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == brute(seeds, corpus, 4, "cosine")
+    assert "Exchange" not in text[text.index("MapInArrow"):]  # below the scoring nothing is shuffled
+    moved = N.knn_join(frame(spark, seeds), frame(spark, corpus), 4, KnnOptions(plan="partitioned", seed_block_rows=64, corpus="moved"))
+    text = moved._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in text[text.index("MapInArrow"):]
