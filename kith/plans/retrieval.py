@@ -15,7 +15,7 @@ from kith.operators import flows
 from kith.operators import knn as N
 from kith.operators import rerank as R
 from kith.operators import shape, vote
-from kith.operators.cells import knn_join_cells, read_cells, write_cells
+from kith.operators.cells import append_cells, knn_join_cells, read_cells, write_cells
 from kith.operators.embed import HashEmbedder, TokenJaccard, embed
 from kith.operators.graph import knn_join_graph, read_graph, write_graph
 from kith.operators.index import build_index, project_2d
@@ -156,6 +156,16 @@ def knn_cosine_topk_cells(spark, sf):
     return shown(knn_join_cells(v, read_cells(spark, path), K_VECTORS))
 
 
+@query(KNN_COSINE)
+def idx_cells_append(spark, sf):
+    """An index stored by cell that grows by two loads, one of them sent twice, and splits its cells."""
+    v, path = vectors(spark, sf), new_folder(spark, "cells")
+    write_cells(v.filter("id % 3 = 0"), path, cells=4)
+    for load in (1, 2, 1):
+        append_cells(v.filter(F.col("id") % 3 == load), path, f"load-{load}", max_rows=200)
+    return shown(knn_join_cells(v, read_cells(spark, path), K_VECTORS))
+
+
 @query(f"WITH {vector_pairs('l2')} SELECT {PAIR_COLUMNS} FROM p WHERE rank <= {K_VECTORS}")
 def knn_l2_topk(spark, sf):
     v = vectors(spark, sf)
@@ -334,6 +344,15 @@ def flow_audience(spark, sf):
     return flows.find_audience(seeds(spark, sf), stored(spark, sf), FEATURES, K_PARTIES, ["id", "segment"])
 
 
+@query(f"""WITH {party_pairs()} SELECT DISTINCT {FIELDS}, CAST(id AS VARCHAR) AS id, segment
+           FROM c WHERE id IN (SELECT neighbor_id FROM p)""")
+def flow_audience_cells(spark, sf):
+    """The same audience from an index stored by cell."""
+    path = new_folder(spark, "cells")
+    write_cells(stored(spark, sf), path, cells=16)
+    return flows.find_audience(seeds(spark, sf), read_cells(spark, path), FEATURES, K_PARTIES, ["id", "segment"])
+
+
 @query(f"""WITH {scored_sql()}, b AS (SELECT DISTINCT neighbor_text AS txt, pair_score FROM (
              SELECT neighbor_text, pair_score, row_number() OVER (PARTITION BY seed_text ORDER BY pair_score DESC, neighbor_text) AS r
              FROM (SELECT DISTINCT seed_text, neighbor_text, pair_score FROM q)) WHERE r <= {R.rerank_depth(K_PARTIES)})

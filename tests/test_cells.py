@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kith import KnnOptions
-from kith.operators.cells import knn_join_cells, needed_cells, read_cells, write_cells
+from kith.operators.cells import append_cells, knn_join_cells, needed_cells, read_cells, write_cells
 from tests.test_knn import brute, frame, rows
 
 
@@ -49,3 +50,29 @@ def test_seeds_beyond_the_broadcast_read_few_cells_too(spark, data, tmp_path, me
     got = knn_join_cells(frame(spark, many), index, 7, KnnOptions(metric, broadcast_rows=10))
     assert rows(got) == brute(many, corpus, 7, metric)
     assert "PartitionFilters: [cell" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growing_cells_equal_a_rebuilt_index(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(6, 8))
+    m = np.vstack([centers[rng.integers(6, size=500)] + 0.1 * rng.normal(size=(500, 8)), np.repeat(centers[:1], 90, axis=0)])
+    rows = [(i, [float(x) for x in v], f"t{i}") for i, v in enumerate(m)] + [(900, None, "none"), (901, [0.0] * 8, "zero")]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, note string")
+    path = f"{tmp_path}/cells"
+    write_cells(df.filter("id < 100"), path, cells=5)
+    assert append_cells(df.filter("id between 100 and 349"), path, "a")
+    assert append_cells(df.filter("id >= 350"), path, "b", max_rows=60)
+    before = read_cells(spark, path)
+    assert not append_cells(df.filter("id between 100 and 349"), path, "a")  # a repeated load
+    (df.limit(5).withColumn("cell", F.lit(0)).write.partitionBy("cell").parquet(f"{path}/rows/cell_load=broken"))  # a load that broke off
+    index = read_cells(spark, path)
+    assert index.rows.count() == before.rows.count() == 590 == index.sizes().sum()
+    assert len(index.live) > 5 and sorted(index.sizes()[index.live])[-2] <= 90  # all but equal vectors
+    write_cells(df, f"{tmp_path}/whole", cells=40)
+    for seeds in (df.filter("id % 50 = 0"), df):
+        for options in (KnnOptions(), KnnOptions(plan="partitioned", seed_block_rows=64)):
+            if seeds is df and options.plan == "auto":
+                continue
+            got, want = (sorted(map(tuple, knn_join_cells(seeds, x, 7, options).collect())) for x in (index, read_cells(spark, f"{tmp_path}/whole")))
+            assert got == want and got
+    assert append_cells(df.filter("id > 899"), path, "nothing to find") and read_cells(spark, path).rows.count() == 590
