@@ -8,9 +8,10 @@
 3. Classes with a common signature meet, first within a batch and then over all, as pairs of the smallest class and the others.
 4. The members of every shared signature are joined by signature trees: nodes hold OR-combined token bitmaps and size ranges; a dual
    traversal drops node pairs whose largest possible overlap is too small, and verifies what is left. Signatures with common members
-   are joined as one family, else (more than ``family`` members) one by one; memberships are cut into blocks and pairs of blocks.
-5. Every pair of different sets is verified once: a family's pair lies in one unit, and a pair of a larger family counts under its
-   smallest common signature. Tasks emit counts by class and as many edges as join the components, not the links themselves.
+   are joined as one family, else (more than ``family`` members) in groups of signatures with the same smallest member; memberships are
+   cut into blocks and pairs of blocks.
+5. Every pair of different sets counts once: a family's pair lies in one unit, and a pair of a larger family counts in its
+   smallest common group. Tasks emit counts by class and as many edges as join the components, not the links themselves.
 
 ``n_links`` is the number of other rows that a row links with, rows of its own class included. With ``count=False`` it is left out
 and trees skip pairs that are joined already, which gives components alone.
@@ -217,10 +218,23 @@ def stars(df: DataFrame, total: int, opts: JaccardOptions) -> DataFrame:
     return blobs.repartition(tasks, "p").mapInArrow(meet, "sig long, pivot long, member long")
 
 
+MARKS = 24  # bits of the place that an id marks in a bitmap of bounded size
+
+
+def marked(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose doc_id is among ``ids (doc_id)``, and few others; which they are is not told apart by a shuffle of ``df``.
+
+    The ids mark a bitmap of 2^24 bits, 262,144 words at most, which is broadcast.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {1 << MARKS}) & 63 AS INT))")
+    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return df.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word").filter(bit.bitwiseAND(F.col("bits")) != 0).select(df.columns)
+
+
 def class_texts(wanted: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
-    """``(cid, text)``: one text of each class of ``wanted (cid, rep)``."""
+    """``(cid, text)``: one text of each class of ``wanted (cid, rep)``. Only texts of marked ids are shuffled, once, by their class."""
     k = opts.words
-    near = df.select(F.col("doc_id").cast("long"), "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def run(batches):
         for whole in batches:
@@ -228,8 +242,9 @@ def class_texts(wanted: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataF
                 sets = [shingles(t, k) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([named(s) if len(s) else None for s in sets], pa.int64()), batch.column(0)], ["cid", "text"])
 
-    found = near.select("text").mapInArrow(run, "cid long, text string")
-    return found.join(wanted.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min("text").alias("text"))
+    near = marked(df.select(F.col("doc_id").cast("long"), "text"), wanted.select(F.col("rep").alias("doc_id")))
+    found = near.select("text").mapInArrow(run, "cid long, text string").groupBy("cid").agg(F.min("text").alias("text"))
+    return found.join(wanted.select("cid"), "cid", "left_semi")
 
 
 class Tree:
@@ -351,20 +366,23 @@ def tree_links(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardO
     sizes = materialize(kin.groupBy("component").agg(F.count("*").alias("m")), "families")
     small = kin.join(sizes.filter(F.col("m") <= family), "component").select(
         F.col("component").alias("sig"), "cid", F.lit(None).cast("long").alias("owner"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    # Larger families are joined signature by signature, those with the same members once, under the smallest.
+    # In larger families the signatures with the same smallest member, whose members are much the same, are joined as one group.
     wide = kin.join(sizes.filter(F.col("m") > family), "component").select(F.col("cid").alias("pivot"))
     placed = met.join(wide, "pivot", "left_semi").select("sig", F.explode(F.array("pivot", "member")).alias("cid")).distinct()
     placed = materialize(placed, "members")
-    each = placed.groupBy("sig").agg(F.count("*").alias("n"), F.min("cid").alias("least"), F.bit_xor(F.xxhash64("cid")).alias("x"))
-    chosen = each.groupBy("n", "least", "x").agg(F.min("sig").alias("sig")).select("sig", "n")
-    large = placed.join(chosen, "sig").select("sig", "cid", F.col("sig").alias("owner"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    least = placed.groupBy("sig").agg(F.min("cid").alias("owner"))
+    grouped = materialize(placed.join(least, "sig").select("owner", "cid").distinct(), "groups")
+    counted = grouped.groupBy("owner").agg(F.count("*").alias("n"))
+    large = grouped.join(counted, "owner").select(F.col("owner").alias("sig"), "cid", "owner", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     members = materialize(small.unionByName(large).join(classes, "cid"), "placed")
     units = (members.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "cid"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("sig", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "size", "owner"))
-    texts = materialize(class_texts(members.select("cid", "rep").distinct(), df, opts), "texts")
-    rows = units.join(texts, "cid").select(
-        F.xxhash64("sig", "blocks", F.col("owner").isNull()).alias("unit"), "i", "j", "own", "cid", "size", "owner", "text") \
+    # The groups of a class: a pair of one large family counts in the first of those that it has in common.
+    groups = grouped.groupBy("cid").agg(F.collect_list("owner").alias("groups"))
+    described = class_texts(members.select("cid", "rep").distinct(), df, opts).join(groups, "cid", "left")
+    rows = units.join(described, "cid").select(
+        F.xxhash64("sig", "blocks", F.col("owner").isNull()).alias("unit"), "i", "j", "own", "cid", "size", "owner", "groups", "text") \
         .repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
 
     def unit(held):
@@ -372,7 +390,7 @@ def tree_links(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardO
         bits = 64
         while bits < 4 * max(len(r[3]) for r in held) and bits < 1 << 16:
             bits *= 2
-        _, _, _, _, i, j, owner = held[0]
+        i, j, owner = held[0][4:7]
         sides = [[r for r in held if r[0] == own] for own in ((i,) if i == j else (i, j))]
         if not all(sides):
             return []
@@ -387,8 +405,8 @@ def tree_links(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardO
         top = roots(len(both), p, q + shift)
         moved = np.flatnonzero(top != np.arange(len(both)))
         if owner is not None:
-            # A pair with a smaller common signature counts there.
-            less = [[x[x < owner] for x in (signatures(s, percent).view(np.int64) for s in t.sets)] for t in trees]
+            # A pair with a smaller common group counts there.
+            less = [[np.array([g for g in r[7] if g < owner], np.int64) for r in side] for side in sides]
             once_ = overlaps(less[0], less[-1], p, q) == 0
             p, q = p[once_], q[once_]
         rows_of = np.array([r[2] for side in sides for r in side], np.int64)
@@ -408,12 +426,12 @@ def tree_links(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardO
                         [pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
         for batch in batches:
-            for at, i, j, own, cid, size, owner, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, i, j, own, cid, size, owner, groups, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (at, i, j) != key:
                     if held:
                         yield from batches_of(unit(held))
                     key, held = (at, i, j), []
-                held.append((own, cid, size, shingles(text, k), i, j, owner))
+                held.append((own, cid, size, shingles(text, k), i, j, owner, groups))
         if held:
             yield from batches_of(unit(held))
 
