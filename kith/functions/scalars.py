@@ -93,3 +93,14 @@ def step_fields(log: Column, action: str = "Action:", action_input: str = "Actio
         "action": F.try_element_at(halves, F.lit(1)),
         "action_input": F.try_element_at(halves, F.lit(2)),
     }
+
+
+def exact_sum(col: Column) -> Column:
+    """The sum as a double. Values below 10^15 are added as decimals with nine places, so their order doesn't matter and no cents are cut.
+
+    Larger ones and infinities are added as doubles; a NaN makes the sum NaN; without any value it is null.
+    """
+    near = F.when(F.abs(col) < 1e15, col.cast("decimal(28, 9)"))  # NaN is no smaller than any number
+    exact = F.sum(near).cast("double")
+    rest = F.sum(F.when(near.isNull(), col.cast("double")))
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from kith.functions.scalars import exact_sum
 from kith.operators.knn import knn_join
 from kith.options import KnnOptions
 
@@ -72,22 +72,18 @@ def knn_pooled(seeds: DataFrame, corpus: DataFrame, k: int, by: str, options: Kn
                     neighbor_id=neighbor_id, vector_col=vector_col)
 
 
-def _exact(col) -> F.Column:
-    return col.cast(T.DecimalType(28, 9))
-
-
 def audience_score(knn: DataFrame) -> DataFrame:
     """How alike each member is to the seed group: best and mean score, and seeds that found it."""
     hits = F.count(F.lit(1))
     return knn.groupBy("neighbor_id").agg(
         F.max("score").alias("best_score"),
-        (F.sum(_exact(F.col("score"))).cast("double") / hits).alias("mean_score"),
+        (exact_sum(F.col("score")) / hits).alias("mean_score"),
         hits.alias("n_seeds"))
 
 
 def bucket_budget(members: DataFrame, bucket: str, amount: str) -> DataFrame:
-    """Per bucket: members, and the mean and total of an amount, added as decimals with nine places."""
+    """Per bucket: members, and the mean and total of an amount (see ``exact_sum``)."""
     hits = F.count(F.lit(1))
-    total = F.sum(_exact(F.col(amount))).cast("double")
+    total = exact_sum(F.col(amount))
     return members.groupBy(bucket).agg(
         hits.alias("n"), (total / F.count(amount)).alias("mean_amount"), total.alias("total_amount"))

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from kith.functions.scalars import exact_sum
 
 
 def group_count(df: DataFrame, *by: str) -> DataFrame:
@@ -47,6 +48,5 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 
 def group_sum(df: DataFrame, by: Sequence[str], amount: str) -> DataFrame:
-    """Totals by group, added as decimals with nine places, so their order doesn't matter and no cents are cut."""
-    total = F.sum(F.col(amount).cast(T.DecimalType(28, 9))).cast("double")
-    return df.groupBy(*by).agg(total.alias("total"), F.count(F.lit(1)).alias("n"))
+    """Totals by group (see ``exact_sum``) and the number of rows."""
+    return df.groupBy(*by).agg(exact_sum(F.col(amount)).alias("total"), F.count(F.lit(1)).alias("n"))

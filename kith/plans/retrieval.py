@@ -18,7 +18,7 @@ from kith.operators import shape, vote
 from kith.operators.cells import append_cells, knn_join_cells, read_cells, write_cells
 from kith.operators.embed import HashEmbedder, TokenJaccard, embed
 from kith.operators.graph import knn_join_graph, read_graph, write_graph
-from kith.operators.index import build_index, project_2d
+from kith.operators.index import ROUNDS, build_index, project_2d
 from kith.operators.sets import attach_label
 from kith.options import KnnOptions
 from kith.plans.registry import query, table
@@ -243,7 +243,28 @@ def embed_hash(spark, sf):
     return embedded(corpus(spark, sf)).select("id", digits.alias("vector"))
 
 
-@query()
+def _project_sql(rounds=ROUNDS):
+    """The covariance by cells and the rounds of the iteration one by one."""
+    product = lambda v: f"list(list_dot_product(c.row, {v}) ORDER BY c.i)"
+    unit = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
+    ctes = ["x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)",
+            "m AS (SELECT i, avg(v) AS m FROM x GROUP BY i)",
+            """cov AS (SELECT a.i, b.i AS j, avg(a.v * b.v) - any_value(ma.m) * any_value(mb.m) AS c
+                FROM x a JOIN x b USING (vec_id) JOIN m ma ON ma.i = a.i JOIN m mb ON mb.i = b.i GROUP BY 1, 2)""",
+            "c AS MATERIALIZED (SELECT i, list(c ORDER BY j) AS row FROM cov GROUP BY i)",
+            "r0 AS (SELECT list(cos(i + 1) ORDER BY i) AS a, list(cos(2 * (i + 1)) ORDER BY i) AS b FROM m)"]
+    for r in range(rounds):
+        ctes.append(f"p{r} AS (SELECT {product('a')} AS a, {product('b')} AS b FROM c, r{r})")
+        ctes.append(f"q{r} AS (SELECT {unit('a')} AS a, b FROM p{r})")
+        ctes.append(f"o{r} AS (SELECT a, list_transform(list_zip(a, b), lambda z: z[2] - list_dot_product(a, b) * z[1]) AS b FROM q{r})")
+        ctes.append(f"r{r + 1} AS MATERIALIZED (SELECT a, {unit('b')} AS b FROM o{r})")
+    sign = lambda v: f"(CASE WHEN list_sum(list_transform({v}, lambda x: x * x * x)) >= 0 THEN 1 ELSE -1 END)"
+    return f"""WITH {', '.join(ctes)}
+      SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, round({sign('a')} * list_dot_product(embedding::DOUBLE[], a), 6) AS x,
+        round({sign('b')} * list_dot_product(embedding::DOUBLE[], b), 6) AS y FROM embeddings, r{rounds}"""
+
+
+@query(_project_sql())
 def embed_project_2d(spark, sf):
     rows = vectors(spark, sf).withColumn("metadata", K.metadata_map(["label"]))
     return project_2d(rows, "label").withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})

@@ -125,6 +125,17 @@ def idx_build(spark, sf):
         F.aggregate(K.to_doubles(F.col("embedding")), F.lit(0.0), lambda a, x: a + x).alias("n_tokens"))
 
 
+@query("SELECT c_mktsegment AS segment, count(*) AS n, count(DISTINCT c_custkey) AS n_ids FROM customer GROUP BY 1")
+def idx_load_repeated(spark, sf):
+    """Two loads, one of them run again."""
+    path, rows = new_folder(spark, "index"), table(spark, sf, "customer")
+    for load in (0, 1, 0):
+        part = rows.filter(F.col("c_custkey") % 2 == load)
+        index = build_index(part, path, "c_custkey", "c_mktsegment", ["c_name", "c_nationkey"], load=f"half-{load}")
+    return index.groupBy(F.col("metadata")["c_mktsegment"].alias("segment")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
 @query("SELECT count(*) AS n FROM customer")
 def idx_count(spark, sf):
     return index_count(_customer_index(spark, sf))

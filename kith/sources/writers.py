@@ -48,9 +48,18 @@ def index_rows(df: DataFrame, id_col: str, text_col: str, vector_col: str, meta_
 
 def append_index(df: DataFrame, path: str, id_col: str = "id", text_col: str = "row_as_text",
                  vector_col: str = "embedding", meta_cols: Sequence[str] = (), features: Sequence[str] = (),
-                 metric: str = "cosine") -> None:
-    """Append entries to a Parquet index; ``features`` are the columns that flows give back."""
-    index_rows(df, id_col, text_col, vector_col, meta_cols, features, metric).write.mode("append").parquet(path)
+                 metric: str = "cosine", load: str | None = None) -> None:
+    """Append entries to a Parquet index; ``features`` are the columns that flows give back.
+
+    With a name, a load is a partition of its own (column ``load``) and replaces what an earlier run of the same load left, so it can be
+    repeated; loads of one index are named all or none.
+    """
+    rows = index_rows(df, id_col, text_col, vector_col, meta_cols, features, metric)
+    if load is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        (rows.withColumn("load", F.lit(load)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("load").parquet(path))
 
 
 def append_log(df: DataFrame, path: str) -> None:

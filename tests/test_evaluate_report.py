@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from kith.operators import evaluate as E
 from kith.operators import report
+from kith.operators import audience as A
 from kith.operators.index import project_2d
 
 
@@ -79,3 +80,21 @@ def test_projection_orders_variance_and_defaults_the_label(spark):
     _, _, axes = np.linalg.svd(points - points.mean(axis=0), full_matrices=False)
     want = points @ axes[:2].T
     assert np.allclose(np.abs([[r.x, r.y] for r in got]), np.abs(want), atol=1e-6)
+
+
+def test_sums_of_large_and_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 0.1), ("a", 0.2), ("a", None), ("big", 1e20), ("big", 0.5), ("nan", nan), ("nan", 1.0), ("inf", inf), ("inf", 1e15), ("both", inf), ("both", -inf), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (str(r.total), r.n) for r in report.group_sum(df, ["g"], "v").collect()}
+    assert got == {"a": ("0.3", 3), "big": ("1e+20", 2), "nan": ("nan", 2), "inf": ("inf", 2), "both": ("nan", 2), "none": ("None", 1)}
+    budget = {r.g: (str(r.mean_amount), str(r.total_amount), r.n) for r in A.bucket_budget(df, "g", "v").collect()}
+    assert budget["a"] == ("0.15", "0.3", 3) and budget["big"] == ("5e+19", "1e+20", 2) and budget["nan"] == ("nan", "nan", 2) and budget["none"] == ("None", "None", 1)
+
+
+def test_projection_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], {}), (2, None, {"target": "x"}), (3, [float("nan"), 1.0], {}), (4, [3.0, 2.5], {}), (5, [None, 1.0], {})],
+                               "id long, embedding array<double>, metadata map<string,string>")
+    got = {r.id: (r.label, r.x is None) for r in project_2d(df).collect()}
+    assert got == {1: ("Unknown", False), 2: ("x", True), 3: ("Unknown", True), 4: ("Unknown", False), 5: ("Unknown", True)}
+    assert project_2d(df.limit(0)).collect() == [] and project_2d(df.filter("id = 2")).first().x is None

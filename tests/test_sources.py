@@ -111,3 +111,15 @@ class NamedSession:
 def test_workspace_follows_the_session(spark):
     assert new_folder(spark, "a") != new_folder(spark, "a")
     assert new_folder(NamedSession, "a").startswith("/shared/place/a-")
+
+
+def test_a_repeated_load_replaces_itself(spark, tmp_path):
+    from kith.operators.index import build_index
+
+    path = f"{tmp_path}/index"
+    make = lambda ids: spark.createDataFrame([(i, f"n{i}") for i in ids], "id long, name string")
+    build_index(make([1, 2]), path, "id", load="a")
+    build_index(make([3]), path, "id", load="b")
+    index = build_index(make([1, 2, 4]), path, "id", load="a")
+    assert sorted(r.id for r in index.collect()) == [1, 2, 3, 4]
+    assert index.schema["embedding"].metadata["metric"] == "cosine"
