@@ -44,6 +44,47 @@ def once(key: tuple, make):
     return kept[key]
 
 
+class Recent:
+    """A memo in two generations: when the young one is full it becomes the old one, and what is asked for again comes back from there.
+
+    So a full memo loses what hasn't been asked for lately, not all it holds. ``turn`` is called between uses, so that entries stay within one.
+    ``sift`` drops new entries that come for the first time: most words that are met at all are met once.
+    """
+
+    SEEN = 1 << 22
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old, self.seen, self.marks = limit, {}, {}, bytearray(self.SEEN), 0
+
+    def turn(self) -> dict:
+        """The young generation."""
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        return self.young
+
+    def back(self, keys) -> list:
+        """The keys that neither generation holds; those of the old one are young again."""
+        young, old, missing = self.young, self.old, []
+        for k in keys:
+            if (v := old.get(k)) is None:
+                missing.append(k)
+            else:
+                young[k] = v
+        return missing
+
+    def sift(self, keys) -> None:
+        """Of new entries only those stay whose key (or one of its hash) came before."""
+        young, seen, mask, before = self.young, self.seen, self.SEEN - 1, len(self.young)
+        for k in keys:
+            h = hash(k) & mask
+            if not seen[h]:
+                seen[h] = 1
+                del young[k]
+        self.marks += before - len(young)
+        if self.marks > self.SEEN // 2:
+            self.seen, self.marks = bytearray(self.SEEN), 0
+
+
 SLICE_BYTES = 4 << 20
 
 

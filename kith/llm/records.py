@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from kith.llm.common import once, slices
+from kith.llm.common import Recent, once, slices
 from kith.sources.workspace import new_folder
 
 MEMO = 300_000
@@ -63,7 +63,7 @@ class WordEncoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.code, self.memo, self.words = "I" if self.wide else "H", memo, {}
+        self.code, self.words = "I" if self.wide else "H", Recent(memo)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -105,12 +105,10 @@ class WordEncoder:
                 wanted.update(words)
         for k, found in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = found
-        # Words of letters, which follow a space, are kept under their letters, other parts under a space and their text; what
-        # is put together from parts serves this batch only.
-        if len(self.words) > self.memo:
-            self.words = {}
-        memo, cut, new = self.words, {}, set()
-        for w in wanted.difference(memo):
+        # Words of letters, which follow a space, are kept under their letters, other parts under a space and their text, and
+        # what is put together from parts under its own text.
+        memo, cut, new = self.words.turn(), {}, set()
+        for w in self.words.back(wanted.difference(memo)):
             if w.isalpha():
                 new.add(w)
                 continue
@@ -121,12 +119,13 @@ class WordEncoder:
                 parts = [p[1:] if p[:1] == " " and p[1:].isalpha() else " " + p for p in self._cut(w)]
             cut[w] = parts
             new.update(parts)
-        new = list(new.difference(memo))
+        new = self.words.back(new.difference(memo))
         memo.update(zip(new, self._encode([" " + p if p.isalpha() else p[1:] for p in new])))
-        joined = {w: b"".join([memo[p] for p in parts]) for w, parts in cut.items()}
-        joined.update((w, memo[w]) for w in wanted.difference(joined))
+        memo.update([(w, b"".join([memo[p] for p in parts])) for w, parts in cut.items()])
         for k, words in split.items():
-            out[k] = b"".join(map(joined.__getitem__, words))
+            out[k] = b"".join(map(memo.__getitem__, words))
+        self.words.sift(new)
+        self.words.sift(cut)
         return out
 
 

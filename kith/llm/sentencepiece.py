@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from kith.llm.common import once, slices
+from kith.llm.common import Recent, once, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MEMO = 400_000        # words kept by one worker
+MEMO = 200_000        # words of one generation of a worker's memo
 
 
 class Pieces:
@@ -60,8 +60,7 @@ class Pieces:
                      else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         self.pairs: dict = {}
         self.runs: dict = {}
-        self.words: dict = {}
-        self.parts: dict = {}
+        self.words, self.parts = Recent(memo), Recent(memo)
         self.memo = memo
 
     def merge(self, text: str) -> list[str]:
@@ -91,7 +90,7 @@ class Pieces:
         key = (before, piece)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2 * self.memo:
+            if len(self.pairs) > 4 * self.memo:
                 self.pairs.clear()
             found = self.pairs[key] = self.merge(before + piece) == ([before, piece] if before else [piece])
         return found
@@ -156,14 +155,14 @@ class Pieces:
 
     def short(self, text: str) -> bytes:
         """The packed ids of a word, part by part: it is cut where no piece goes on."""
-        joined, memo, start, out = self.joined, self.parts, 0, []
+        joined, memo, old, start, out = self.joined, self.parts.young, self.parts.old, 0, []
         for i in range(1, len(text) + 1):
             if i == len(text) or text[i - 1:i + 1] not in joined:
                 part = text[start:i]
                 if (packed := memo.get(part)) is None:
-                    if len(memo) >= self.memo:
-                        memo.clear()
-                    packed = memo[part] = self.packed(self.word(part))
+                    if (packed := old.get(part)) is None:
+                        packed = self.packed(self.word(part))
+                    memo[part] = packed
                 out.append(packed)
                 start = i
         return b"".join(out)
@@ -185,18 +184,18 @@ class Pieces:
         if not text:
             return b""
         words = text.replace(SPACE, " ").split(" ")
-        memo = self.words
-        for w in set(words).difference(memo):
-            if len(w) > 256:
-                continue
-            if len(memo) >= self.memo:
-                memo.clear()
+        memo = self.words.turn()
+        self.parts.turn()
+        new = [w for w in self.words.back(set(words).difference(memo)) if len(w) <= 256]
+        for w in new:
             memo[w] = self.short(SPACE + w) if w else b""
-        if "" not in words:
-            try:
+        try:
+            if "" not in words:
                 return b"".join(map(memo.__getitem__, words))
-            except KeyError:  # a word beyond the memo: too long to keep, or the memo was emptied meanwhile
-                pass
+        except KeyError:  # a word that is too long to keep
+            pass
+        finally:
+            self.words.sift(new)
         out, marks = [], 0
         for w in words:
             marks += 1
@@ -251,7 +250,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "text", keep
         m = pieces(model)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            texts = [m.decode(lists[i].values.to_numpy()) if lists[i].is_valid else "" for i in range(batch.num_rows)]
+            texts = [m.decode(lists[i].values.to_numpy().tolist()) if lists[i].is_valid else "" for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), pa.array(texts, pa.string())], [*(f.name for f in kept), text])
 
