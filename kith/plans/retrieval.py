@@ -172,7 +172,20 @@ def knn_l2_topk(spark, sf):
     return shown(N.knn_join(v, v, K_VECTORS, KnnOptions(metric="l2")))
 
 
-@query()
+LSH = f"""WITH planes AS (
+      SELECT j, list(v ORDER BY i) AS p, sqrt(sum(v * v)) AS norm FROM (
+        SELECT j, i, (('0x' || substr(md5('42:' || j || ':' || i), 1, 8))::BIGINT % 2001 - 1000)::DOUBLE AS v
+        FROM (SELECT unnest(range(16)) AS j), (SELECT unnest(range(max(len(embedding)))) AS i FROM embeddings)) GROUP BY j),
+    e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(v, v)) AS len FROM embeddings),
+    codes AS (SELECT vec_id, j // 2 AS t, list(floor(list_dot_product(v, p) / (len * norm * 0.5)) ORDER BY j) AS code FROM e, planes GROUP BY 1, 2),
+    met AS (SELECT DISTINCT a.vec_id AS seed_id, b.vec_id AS neighbor_id FROM codes a JOIN codes b ON a.t = b.t AND a.code = b.code),
+    s AS (SELECT seed_id, neighbor_id, round(list_cosine_similarity(a.v, b.v), 9) AS score
+      FROM met JOIN e a ON a.vec_id = seed_id JOIN e b ON b.vec_id = neighbor_id),
+    p AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM s)
+    SELECT {PAIR_COLUMNS} FROM p WHERE rank <= {K_VECTORS}"""
+
+
+@query(LSH)
 def knn_lsh_topk(spark, sf):
     v = vectors(spark, sf)
     # these vectors are spread evenly, so near and far rows differ little: wide buckets

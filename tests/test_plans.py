@@ -25,7 +25,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"knn_lsh_topk", "knn_graph_topk"}
+    assert set(QUERIES) - set(ORACLES) == {"knn_graph_topk"}
 
 
 def test_entry(spark):
