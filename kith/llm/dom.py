@@ -14,15 +14,18 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head template noscript svg math select button canvas object audio video".split())
+HIDDEN = frozenset("head template".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
                     "br img wbr input ruby rt rp output").split())
+#: Embedded content that stands in a line: formulas, drawings, and what stands in for media that can't be shown.
+EMBEDDED = frozenset(("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts "
+                      "semantics annotation svg g text tspan path object canvas audio video source track param").split())
 _CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"),
                   "option": ("select",), "tbody": ("table",), "thead": ("table",)}
 
 GROUPS = [
     ("article", "main"), ("section",), ("div",), ("p", "blockquote", "pre", "figure", "figcaption"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("nav", "menu"),
-    ("footer",), ("header",), ("aside",), ("form", "fieldset", "dialog"), ("ul", "ol", "li", "dl", "dd", "dt"), ("table", "tr", "td", "th"), ("#text",), ("body", "html", "#root")]
+    ("footer",), ("header",), ("aside",), ("form", "fieldset", "dialog", "button", "select", "option", "optgroup", "datalist"), ("ul", "ol", "li", "dl", "dd", "dt"), ("table", "tr", "td", "th"), ("#text",), ("body", "html", "#root")]
 #: Words in class, id and role that page authors use; fixed values.
 TOKENS = [
     "content article post entry story main body text blog".split(),
@@ -97,6 +100,8 @@ class Page:
         self.marked.append(0)
 
     def _open(self, name, attributes):
+        if name in EMBEDDED:
+            return
         if name in INLINE:
             if name == "a":
                 self._link = 1
@@ -147,6 +152,8 @@ class Page:
         del self._stack[k:]
 
     def _close(self, name):
+        if name in EMBEDDED:
+            return
         if name in INLINE:
             if name == "a":
                 self._link = 0

@@ -53,6 +53,11 @@ class Layouts:
     def links(self, n: int) -> str:
         return "".join(f'<li><a href="/{k}">{self.say(1, 3)}</a></li>' for k in range(n))
 
+    def choices(self) -> str:
+        r, say = self.r, self.say
+        listed = "".join(f"<option>{say(1, 2)}" for _ in range(r.randint(1, 4)))
+        return r.choice(["", f"<select>{listed}</select>"]) + r.choice(["", f"<button>{say(1, 2)}</button>"])
+
     def boilerplate(self) -> str:
         r, say, mark = self.r, self.say, self.mark
         kind = r.randrange(11)
@@ -70,7 +75,7 @@ class Layouts:
             inner = f"<p>{say(5, 40)}</p>" if r.random() < 0.5 else say(5, 40)
             return f'<div {r.choice(["class", "id"])}="{r.choice(["cookie-notice", "notice", "consent", "alert", "popup", "cookie-banner"])}">{inner}<button>ok</button></div>'
         if kind == 6:
-            return f"<form{mark('newsletter', 'subscribe', 'search', 'login')}><label>{say(1, 4)}</label><input name=q><p>{say(2, 20)}</p></form>"
+            return f"<form{mark('newsletter', 'subscribe', 'search', 'login')}><label>{say(1, 4)}</label><input name=q>{self.choices()}<p>{say(2, 20)}</p></form>"
         if kind in (7, 8):
             items = "".join(f'<{t} class="comment"><b>{say(1, 2)}</b><p>{say(3, 80)}</p></{t}>' for t in [r.choice(["div", "li", "article"])] * r.randint(1, 6))
             return f'<{r.choice(["section", "div"])} {r.choice(["id", "class"])}="{r.choice(["comments", "comment-list", "reader-comments", "discussion"])}"><h3>{say(1, 3)}</h3>{items}</div></section>'
@@ -101,6 +106,8 @@ class Layouts:
                 out.append(f"<p>\x01{text}" + ("" if loose else "</p>"))
             if r.random() < 0.04:
                 out.append(f'<div class="{r.choice(["ad", "advert", "promo"])}">{say(2, 20)}</div>')
+            elif r.random() < 0.04:
+                out.append(self.boilerplate())
         return "".join(out)
 
     def page(self) -> str:
@@ -141,9 +148,21 @@ def labelled(source: str):
 
 
 def fit(pages: DataFrame, opts: ExtractOptions = ExtractOptions(), html: str = "html") -> dict:
-    """Train the trees; at most ``sample`` given pages, those of the smallest hashes, lend their words."""
-    rows = pages.select(F.substring(html, 1, 20_000).alias("h")).filter(F.length("h") > 0).orderBy(F.xxhash64("h"), "h").limit(opts.sample).collect()
-    words = sorted({w for (h,) in rows for t in dom.Page(h).text if t for w in t.split()})
+    """Train the trees; at most ``sample`` given pages, those of the smallest hashes, lend their words. Only hashes and words come to the driver."""
+    hashed = pages.select(F.xxhash64(html).alias("h"), F.col(html).alias("html")).filter(F.length("html") > 0)
+    chosen = [h for (h,) in hashed.select("h").distinct().orderBy("h").limit(opts.sample).collect()]
+
+    def spoken(batches):
+        seen, found = set(), set()
+        for batch in batches:
+            for h, source in zip(*(c.to_pylist() for c in batch.columns)):
+                if h not in seen:
+                    seen.add(h)
+                    found.update(w for t in dom.Page(source).text if t for w in t.split())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+
+    said = hashed.filter(F.col("h").isin(chosen)).mapInArrow(spoken, "word string")
+    words = [w for (w,) in said.distinct().orderBy("word").collect()]
     layouts = Layouts(words, opts.seed)
     found = [labelled(layouts.page()) for _ in range(opts.pages)]
     return trees.train(np.concatenate([f for f, _ in found]), np.concatenate([y for _, y in found]))

@@ -132,6 +132,31 @@ def test_page_blocks():
     assert [t for t in page.text if t] == ["a & b c", "d e f", "g", "h", "i"]
 
 
+def test_embedded_text_stays_in_its_block():
+    page = dom.Page("<p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn></math> be <svg><g><text>drawn</text></g></svg> or <object data=a>told"
+                    "<param name=b></object>, <video><source src=c>seen</video>.</p><noscript>Read <b>this</b></noscript><p>Press <button>OK</button></p>")
+    assert [t for t in page.text if t] == ["Let x+1 be drawn or told, seen.", "Read this", "Press", "OK"]
+    assert page.tag[page.parent[page.text.index("OK")]] == "button"
+
+
+def test_hand_written_pages(spark):
+    """Pages that the generator of the training layouts can't make."""
+    layouts = html_extract.Layouts([f"w{i}" for i in range(300)], 1)
+    found = [html_extract.labelled(layouts.page()) for _ in range(300)]
+    model = trees.train(np.concatenate([f for f, _ in found]), np.concatenate([y for _, y in found]))
+    long = "The river rose in the night, and by the morning it had reached the lower fields, where the sheep stood. Nobody had seen it so high before."
+    pages = [
+        (f"<html><head><title>t</title></head><body><header class=masthead><a href=/>Home</a></header><nav><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></nav>"
+         f"<article class='post entry'><h1>High water</h1><p>{long}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be its depth. {long}</p></article>"
+         f"<footer>&copy; 2020 All rights reserved</footer></body></html>", ["High water", long, f"Let x=2 be its depth. {long}"]),
+        (f"<body><div id=cookie-notice><p>We use cookies on this site, please accept.</p><button>Accept</button></div><main><h1>On sheep</h1><p>{long}</p>"
+         f"<form class=newsletter><label>Mail</label><select><option>Daily<option>Weekly</select><button>Subscribe</button></form><p>{long} Again.</p></main>"
+         f"<aside class='sidebar related'><h3>More</h3><ul><li><a href=3>Floods</a></li></ul></aside></body>", ["On sheep", long, f"{long} Again."]),
+    ]
+    for source, want in pages:
+        assert html_extract.main_texts([source], model)[0].split("\n") == want
+
+
 def plain_spans(text):
     kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     out = []
