@@ -11,7 +11,8 @@ by id, so no further copy can be among the nearest, and nothing is lost. Queries
 The driver and each task hold the centroids and the cell counts, ``cells`` squared numbers at most.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without id; vectors of another length
-than the most frequent one take no part either; repeated rows of one id and vector count once; fewer candidates than k give all; other columns are left out.
+than the most frequent one take no part either; repeated rows of one id and vector count once; an id with several vectors is one neighbour, as near
+as the nearest of them, and asks with all of them; fewer candidates than k give all; other columns are left out.
 """
 
 from __future__ import annotations
@@ -123,6 +124,19 @@ def _asked(lists, cell: np.ndarray) -> np.ndarray:
     return flags[:, column]
 
 
+def _nearest(scores: np.ndarray, ids: list[list[int]], who: int, k: int) -> list[tuple[int, float]]:
+    """The k best other ids of a block with their best score; entries are taken in until they hold that many."""
+    keep, n = min(k + 1, len(scores)), len(scores)
+    while True:
+        floor = np.partition(scores, n - keep)[n - keep]
+        best: dict = {}
+        for x, i in sorted((-scores[e], i) for e in np.flatnonzero((scores >= floor) & (scores > -np.inf)) for i in ids[e] if i != who):
+            best.setdefault(i, -x)
+        if len(best) >= k or keep == n:
+            return list(best.items())[:k]
+        keep = min(2 * keep, n)
+
+
 def search(df: DataFrame, queries: DataFrame, id_col: str, vector: str, opts: MultiIndexOptions = MultiIndexOptions()) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the best of what each query of ``queries`` (rows of the same form) meets in ``df``."""
     k = opts.k
@@ -177,17 +191,14 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vector: str, opts: Mu
                 who = question.field("query_id").to_numpy()
                 q = question.field("q").flatten().to_numpy().reshape(len(who), -1)
                 s = np.where(_asked(question.field("cells"), cell), np.einsum("qd,vd->qv", q, v), -np.inf)
-                keep = min(k + 1, s.shape[1])
-                floor = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
-                out = []
-                for a in range(len(who)):
-                    best = sorted((-s[a, e], i) for e in np.flatnonzero((s[a] >= floor[a]) & (s[a] > -np.inf)) for i in ids[e] if i != who[a])[:k]
-                    out += [(who[a], i, -x) for x, i in best]
+                out = [(w, i, x) for w, row in zip(who.tolist(), s) for i, x in _nearest(row, ids, w, k)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())],
                     ["query_id", "vec_id", "score"])
 
     scored = met.mapInArrow(rank, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # Rows that share an id are one neighbour, as near as the nearest of them.
+    scored = scored.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return (scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

@@ -301,3 +301,21 @@ def recall(spark, folder):
             best = set(ids[np.lexsort((ids, -s))[:k]].tolist())
             hits, all_ = hits + len(best & got[ids[q]]), all_ + len(best)
     return hits / all_
+
+
+def test_an_id_with_several_vectors_is_one_neighbour(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(90, 8))
+    ids = [i % 30 for i in range(90)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    opts = multi_index.MultiIndexOptions(k=12, cells=4, share=1.0, block=20, chunk=2)
+    got = defaultdict(list)
+    for g in multi_index.search(df, df.filter("vec_id = 4 or vec_id = 9"), "vec_id", "embedding", opts).orderBy("query_id", "rank").collect():
+        got[g.query_id].append((g.vec_id, round(g.score, 9)))
+    for q in (4, 9):
+        best = {}
+        for a in np.flatnonzero(np.array(ids) == q):
+            for i, v in zip(ids, x):
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(x[a] @ v))
+        assert got[q] == [(i, round(s, 9)) for i, s in sorted(best.items(), key=lambda e: (-e[1], e[0]))[:12]]
