@@ -27,6 +27,16 @@ def word_list(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it none of the columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def hash60(*parts) -> Column:
     """A hash of 60 bits that other engines can also compute: the head of an MD5."""
     text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])

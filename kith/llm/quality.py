@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kith.llm.common import SPACE_CHARS, word_list
+from kith.llm.common import SPACE_CHARS, free, word_list
 from kith.sources.workspace import materialize
 
 WINDOW = 5
@@ -75,19 +75,19 @@ PRIOR, WEIGHT = 0.8, 10.0  # share of good documents at the start; documents eac
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the statistics and drop nothing; the text stays as it is."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words, hashes, ranked, starts = "__words", "__hashes", "__ranked", "__starts"
+    words, kept_lines, hashes, ranked, starts = free(df, "__words", "__lines", "__hashes", "__ranked", "__starts")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
     at = lambda i: F.get(F.col(ranked), i)["h"]
     return (
         df.drop(*STATISTICS)
-        .withColumns({words: word_list(F.col(text)), "__lines": lines})
+        .withColumns({words: word_list(F.col(text)), kept_lines: lines})
         .withColumn("n_words", F.size(words).cast("long"))
         .withColumns({
             hashes: F.when(F.col("n_words") > WINDOW, F.transform(
                 F.sequence(F.lit(0), (F.col("n_words") - WINDOW).cast("int")),
                 lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(WINDOW)]))),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+            "n_lines": F.size(kept_lines).cast("long"),
+            "n_dup_lines": (F.size(kept_lines) - F.size(F.array_distinct(kept_lines))).cast("long"),
             "n_distinct": F.size(F.array_distinct(words)).cast("long"),
             "n_ends": F.size(F.filter(F.col(words), lambda w: F.right(w, F.lit(1)).isin(".", "!", "?"))).cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
@@ -104,7 +104,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             F.col(starts), lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(starts), k + 1) - p, F.lit(WINDOW)))),
             F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .drop(words, "__lines", hashes, ranked, starts))
+        .drop(words, kept_lines, hashes, ranked, starts))
 
 
 def with_votes(measured: DataFrame) -> DataFrame:
@@ -155,11 +155,12 @@ def judge(voted: DataFrame, table: DataFrame, threshold: float = 0.5) -> DataFra
 
     Both come from the table: a filter on ``kept`` that named the statistics would be pushed below them and compute them anew in each lambda.
     """
+    (key,) = free(voted, "key")
     both = table.select(
-        F.explode(F.array(*[F.struct(F.concat("votes", F.lit(mark)).alias("key"), F.col("posterior"),
+        F.explode(F.array(*[F.struct(F.concat("votes", F.lit(mark)).alias(key), F.col("posterior"),
                                      (F.lit(mark == "0") & (F.col("posterior") >= threshold)).alias("kept")) for mark in "01"])).alias("t")).select("t.*")
-    key = F.concat("votes", F.when(F.col("base_failed"), "1").otherwise("0"))
-    return voted.withColumn("key", key).join(F.broadcast(both), "key").drop("key")
+    known = F.concat("votes", F.when(F.col("base_failed"), "1").otherwise("0"))
+    return voted.withColumn(key, known).join(F.broadcast(both), key).drop(key)
 
 
 def quality_rules(df: DataFrame, text: str = "text", rounds: int = 10, threshold: float = 0.5) -> DataFrame:

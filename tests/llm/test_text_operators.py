@@ -108,6 +108,14 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert kept == set(range(200))
 
 
+def test_quality_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some words here, and more of them still to come. So they go on.", "k", 7, [8], 9), (2, None, None, 1, None, None)],
+                               "doc_id long, text string, key string, __words long, __lines array<int>, Key_ long")
+    got = {x.doc_id: x for x in quality.quality_rules(df).collect()}
+    assert (got[1]["key"], got[1]["__words"], got[1]["__lines"], got[1]["Key_"], got[1]["n_words"]) == ("k", 7, [8], 9, 14)
+    assert (got[2]["key"], got[2]["__words"], got[2]["kept"]) == (None, 1, False)
+
+
 def test_pages(spark):
     layouts = html_extract.Layouts([f"w{i}" for i in range(300)], 1)
     found = [html_extract.labelled(layouts.page()) for _ in range(200)]
