@@ -48,3 +48,21 @@ def test_a_record_outside_its_domain_is_an_error(spark, index):
     assert [(r.neighbor_id, r.label) for r in got] == [(3, "Unknown")]
     with pytest.raises(ValueError):
         flows.match_record(spark, {"job": "c", "amt": 70.0}, schema, index, 1, "label", {"amt": (0, 10)})
+
+
+def test_flows_take_stored_cells_and_graphs(spark, index, tmp_path):
+    from kith.operators.cells import append_cells, read_cells, write_cells
+    from kith.operators.graph import read_graph, write_graph
+
+    write_cells(index.filter("id < 4"), f"{tmp_path}/cells", cells=2)
+    append_cells(index.filter("id = 4"), f"{tmp_path}/cells", "more")
+    write_graph(index, f"{tmp_path}/graph")
+    seeds = spark.createDataFrame([("c", 7.0), (None, None), ("a; b", 2.5)], "job string, amt double")
+    for other in (read_cells(spark, f"{tmp_path}/cells"), read_graph(spark, f"{tmp_path}/graph")):
+        for flow in (lambda i: flows.find_audience(seeds, i, ["job", "amt"], 2, ["id", "label"]),
+                     lambda i: flows.classify(seeds, i, ["job", "amt"], 2, "label"),
+                     lambda i: flows.find_reranked(seeds, i, ["job", "amt"], 3, TokenJaccard())):
+            got, want = (sorted(map(tuple, flow(i).collect()), key=str) for i in (other, index))
+            assert got == want and got
+        with pytest.raises(ValueError, match="stored for cosine"):
+            flows.find_audience(seeds, other, ["job", "amt"], 1, options=KnnOptions(metric="l2"))
