@@ -56,6 +56,7 @@ class GraphOptions:
     rounds: int = 8            # rounds of descent at most
     settled: float = 0.01      # rounds end when at most this share of the edges is new
     entry_factor: float = 4.0  # entry nodes, in square roots of the number of nodes
+    entry_least: int = 256     # entry nodes at least, so that small graphs are seen whole
     beam: int = 64             # nodes a search keeps for a seed
     expand: int = 16           # nodes of a beam opened in one step
     steps: int = 12            # steps at most

@@ -205,10 +205,11 @@ def knn_graph_topk(spark, sf):
     return shown(_by_graph(v, v, spark, K_VECTORS))
 
 
-@query(f"WITH {party_pairs()} SELECT {PAIR_COLUMNS} FROM p")
+@query(f"WITH {party_pairs()} SELECT seed_id, rank, round(score, 6) AS score FROM p")
 def knn_graph_parties(spark, sf):
-    """Row texts have few distinct vectors, of which the walk misses none."""
-    return shown(_by_graph(embedded(seeds(spark, sf)), embedded(corpus(spark, sf)), spark, K_PARTIES))
+    """Row texts have few distinct vectors, of which the walk misses none that is nearer; which of equally near rows come last is left open."""
+    found = _by_graph(embedded(seeds(spark, sf)), embedded(corpus(spark, sf)), spark, K_PARTIES)
+    return shown(found).select("seed_id", "rank", "score")
 
 
 @query(f"""WITH g AS (SELECT label, list(m ORDER BY i) AS embedding FROM (
