@@ -330,3 +330,53 @@ def test_unprunable_corpus_stays_in_place(spark):
     moved = N.knn_join(frame(spark, seeds), frame(spark, corpus), 4, KnnOptions(plan="partitioned", seed_block_rows=64, corpus="moved"))
     text = moved._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block" in text
+
+
+def test_a_single_file_is_compared_by_all_cores(spark):
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(1500, 12))
+    df = frame(spark, m, parts=1)
+    got = N.knn_join(df, df, 4, KnnOptions(plan="partitioned"))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and "hashpartitioning(block" not in text
+    assert rows(got) == brute(m, m, 4, "cosine")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("floor_share", [1, 32])
+def test_both_sides_in_blocks_give_the_same_rows(spark, clustered, metric, floor_share):
+    """Blocks of the corpus past the seeds, or of seeds past the corpus: 3 blocks here, so a share of 1 takes the seeds'."""
+    corpus, seeds = clustered
+    options = KnnOptions(metric, plan="partitioned", corpus="in_place", running_rows=70, floor_share=floor_share, floor_rows=1)
+    got = N.knn_join(frame(spark, seeds), frame(spark, corpus), 6, options)
+    assert rows(got) == brute(seeds, corpus, 6, metric)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_single_precision_only_rules_out(metric, exclude_self, monkeypatch):
+    """Rows that single precision can't tell apart, copies, and far ones; few pairs are scored in double precision."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(6000, 16))
+    m[:900] = m[0] + 1e-8 * rng.normal(size=(900, 16))
+    m[1000:1400] = m[1000]
+    kernel, scored = kernels.KERNELS[metric], []
+    for name, size in (("pair_scores", lambda a: len(a[3])), ("scores", lambda a: len(a[2]) * len(a[1] if metric == "cosine" else a[1][0]))):
+        plain = getattr(kernel, name)
+        monkeypatch.setattr(kernel, name, lambda *a, plain=plain, size=size: (scored.append(size(a)), plain(*a))[1])
+    order = rng.permutation(6000)
+    column = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    ids = np.concatenate([[0, 5, 1000, 1200], np.arange(1400, 2200)])
+    block = kernels.SeedBlock(metric, 7, pa.array(ids), column(m[ids]), exclude_self)
+    for at in range(0, 6000, 3000):
+        block.stream(pa.array(order[at:at + 3000]), column(m[order[at:at + 3000]]))
+    got = block.result().to_pandas()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for i in ids:
+        score = np.round(unit @ unit[i], 9) if metric == "cosine" else -np.round(((m - m[i]) ** 2).sum(1), 9)
+        if exclude_self:
+            score[i] = -np.inf
+        assert got[got.seed_id == i].neighbor_id.tolist() == np.lexsort((np.arange(6000), -score))[:7].tolist()
+    assert sum(scored) < len(ids) * 6000 / 4
