@@ -64,11 +64,9 @@ def _store(rows: DataFrame, path: str, load: str, points: np.ndarray, taking: np
     at = rows.columns.index(vector_col)
 
     def place(batches):
-        for batch in batches:
-            batch = kernels.usable(batch, metric, at)
-            if batch.num_rows:
-                cell = taking[kernels.distances(kernels.points(batch.column(at), metric), pivots.value[taking]).argmin(axis=1)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=schema.names)
+        for batch in kernels.in_tiles(batches, metric, len(taking), at):
+            cell = taking[kernels.distances(kernels.points(batch.column(at), metric), pivots.value[taking]).argmin(axis=1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=schema.names)
 
     folder = f"{path}/rows/cell_load={load}"
     (rows.mapInArrow(place, schema).repartitionByRange("cell", F.xxhash64(id_col))

@@ -76,3 +76,13 @@ def test_growing_cells_equal_a_rebuilt_index(spark, tmp_path):
             got, want = (sorted(map(tuple, knn_join_cells(seeds, x, 7, options).collect())) for x in (index, read_cells(spark, f"{tmp_path}/whole")))
             assert got == want and got
     assert append_cells(df.filter("id > 899"), path, "nothing to find") and read_cells(spark, path).rows.count() == 590
+
+
+def test_many_cells_are_compared_in_tiles(spark, tmp_path, monkeypatch):
+    """No task holds the distances of more than one tile, however many cells an index has grown to."""
+    from kith.operators import kernels
+
+    monkeypatch.setattr(kernels, "TILE_CELLS", 500)
+    batch = frame(spark, np.random.default_rng(1).normal(size=(90, 4)), parts=1).toArrow().to_batches()
+    sizes = [b.num_rows for b in kernels.in_tiles(iter(batch), "cosine", 50)]
+    assert sizes == [10] * 9
