@@ -380,3 +380,29 @@ def test_single_precision_only_rules_out(metric, exclude_self, monkeypatch):
             score[i] = -np.inf
         assert got[got.seed_id == i].neighbor_id.tolist() == np.lexsort((np.arange(6000), -score))[:7].tolist()
     assert sum(scored) < len(ids) * 6000 / 4
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("own", [False, True])
+def test_rows_met_more_often_than_there_are_pairs_go_past_each_other_once(spark, monkeypatch, metric, own):
+    r = np.random.default_rng(5)
+    m = r.normal(size=(3000, 6))
+    m[::7] = m[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    s, c = df.filter("id % 11 = 0"), df.filter("id % 13 <> 0")
+    asked, keyed = [], N._keyed
+    monkeypatch.setattr(N, "_keyed", lambda *a: (asked.append(1), keyed(*a))[1])
+    options = KnnOptions(metric, exclude_self=own, broadcast_bytes=1000 * 8 * (6 + 4))
+    width = 1.0 if metric == "cosine" else 3.0
+    got = rows(N.knn_join_approx(s, c, 9, options, tables=4, hashes=1, bucket=width))
+    assert not asked
+    by_key = lambda s, c, n_seeds, n_rows, width, k, opt: N._merged(keyed(
+        *(side.select(F.explode("keys").alias("key"), "id", "vec") for side in (s, c)), k, opt.metric, opt), k)
+    monkeypatch.setattr(N, "_met_under_keys", by_key)
+    assert got == rows(N.knn_join_approx(s, c, 9, options, tables=4, hashes=1, bucket=width)) and len(got) == 9 * s.count()
+
+
+def test_tables_share_no_keys():
+    points = np.stack(np.meshgrid(np.arange(-6.0, 7), np.arange(-6.0, 7)), -1).reshape(-1, 2)
+    keys = kernels.bucket_keys(points, np.tile(np.eye(2), 8), 8)  # a row has the same numbers in every table
+    assert len(np.unique(keys)) == keys.size
