@@ -406,3 +406,18 @@ def test_tables_share_no_keys():
     points = np.stack(np.meshgrid(np.arange(-6.0, 7), np.arange(-6.0, 7)), -1).reshape(-1, 2)
     keys = kernels.bucket_keys(points, np.tile(np.eye(2), 8), 8)  # a row has the same numbers in every table
     assert len(np.unique(keys)) == keys.size
+
+
+def test_token_overlap_holds_small_tiles():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    token = lambda n, a: pa.array([[f"a{i % 5}", f"b{i % a}", f"c{i % 7}"] for i in range(n)])
+    block = kernels.SeedBlock("overlap", 20, pa.array(range(4096)), token(4096, 25), False)
+    ids, vectors = pa.array(range(5000)), token(5000, 25)
+    tracemalloc.start()
+    block.stream(ids, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(block.result()) == 4096 * 20 and peak < 120 << 20
