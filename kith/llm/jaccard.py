@@ -6,6 +6,7 @@
    sets share a signature. Sizes fall into intervals that grow by half; a set takes part in its own and, near the end,
    in the next. In the small intervals each shingle is a part, which loses nothing even where hashes lie close. No link is lost and no frequent shingle by itself brings documents together, since a part must agree as a whole.
 3. Classes with a common signature meet, first within a batch and then over all, as pairs of the smallest class and the others.
+   Without counts, bitmaps of the sets alone then say who can't link with anyone it has met (``sift``), so few texts move.
 4. The members of every shared signature are joined by signature trees: nodes hold OR-combined token bitmaps and size ranges; a dual
    traversal drops node pairs whose largest possible overlap is too small, and verifies what is left. Signatures with common members
    are joined as one family, else (more than ``family`` members) in groups of signatures with the same smallest member; memberships are
@@ -221,15 +222,28 @@ def stars(df: DataFrame, total: int, opts: JaccardOptions) -> DataFrame:
 MARKS = 24  # bits of the place that an id marks in a bitmap of bounded size
 
 
-def marked(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose doc_id is among ``ids (doc_id)``, and few others; which they are is not told apart by a shuffle of ``df``.
+def flagged(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``df`` with a flag ``marked`` on the rows whose ``column`` is among ``ids``, and few others; which they are is not told apart by a shuffle of ``df``.
 
     The ids mark a bitmap of 2^24 bits, 262,144 words at most, which is broadcast.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS))
-    bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {1 << MARKS}) & 63 AS INT))")
+    place = F.pmod(F.xxhash64(column), F.lit(1 << MARKS))
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({column}), {1 << MARKS}) & 63 AS INT))")
     words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return df.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word").filter(bit.bitwiseAND(F.col("bits")) != 0).select(df.columns)
+    near = df.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word", "left")
+    return near.select(*df.columns, F.coalesce(bit.bitwiseAND(F.col("bits")) != 0, F.lit(False)).alias("marked"))
+
+
+def marked(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose doc_id is among ``ids (doc_id)``, and few others."""
+    return flagged(df, ids).filter("marked").select(df.columns)
+
+
+def without(df: DataFrame, lost: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not among ``lost``; only the rows that it marks are shuffled."""
+    both = flagged(df, lost, column)
+    near = both.filter("marked").select(df.columns).join(lost.select(column), column, "left_anti").select(df.columns)
+    return both.filter("not marked").select(df.columns).unionByName(near)
 
 
 def class_texts(wanted: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
@@ -247,18 +261,34 @@ def class_texts(wanted: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataF
     return found.join(wanted.select("cid"), "cid", "left_semi")
 
 
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of ``n`` shingles."""
+    bits = 64
+    while bits < 4 * n and bits < 1 << 16:
+        bits *= 2
+    return bits
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    out, bit = np.zeros(bits // 64, np.uint64), s % np.uint64(bits)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(int), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 class Tree:
-    """A signature tree over sets sorted by size: leaves hold one set, nodes the OR of their bitmaps and the range of their sizes."""
+    """A signature tree over sets sorted by size: leaves hold one set, nodes the OR of their bitmaps and the range of their sizes.
+
+    ``sizes`` and ``maps`` may stand for the sets where pairs are only sought, not verified.
+    """
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray], labels: list[int], bits: int):
-        self.sets, self.labels, self.order = sets, labels, np.argsort([len(s) for s in sets], kind="stable")
-        maps = np.zeros((len(sets), bits // 64), np.uint64)
-        for row, at in enumerate(self.order):
-            bit = sets[at] % np.uint64(bits)
-            np.bitwise_or.at(maps[row], (bit >> np.uint64(6)).astype(int), np.uint64(1) << (bit & np.uint64(63)))
-        size = np.array([len(sets[at]) for at in self.order])
+    def __init__(self, sets: list[np.ndarray] | None, labels: list[int], bits: int, sizes=None, maps=None):
+        self.sets, self.labels = sets, labels
+        sizes = np.array([len(s) for s in sets] if sizes is None else sizes)
+        self.order = np.argsort(sizes, kind="stable")
+        maps = np.stack([bitmap(s, bits) for s in sets] if maps is None else maps)[self.order]
+        size = sizes[self.order]
         label = np.array([labels[at] for at in self.order])
         level = (maps, size, size, size - np.bitwise_count(maps).sum(axis=1).astype(int), label, label)
         self.levels = [level]
@@ -359,6 +389,103 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return top
 
 
+def in_units(members: DataFrame) -> DataFrame:
+    """Members of groups of ``blocks`` blocks, once for each pair of blocks (``i``, ``j``) that their own block is in."""
+    return (members.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "cid"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}))
+
+
+def by_signature(met: DataFrame, name: str) -> DataFrame:
+    """``(owner, cid)``: the classes of all signatures with the same smallest member, as one group."""
+    placed = materialize(met.select("sig", F.explode(F.array("pivot", "member")).alias("cid")).distinct(), name)
+    least = placed.groupBy("sig").agg(F.min("cid").alias("owner"))
+    return materialize(placed.join(least, "sig").select("owner", "cid").distinct(), f"{name}-groups")
+
+
+def class_maps(wanted: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
+    """``(cid, n, map)``: size and bitmap of each class of ``wanted (cid, rep)``."""
+    k = opts.words
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [s for t in batch.column(0).to_pylist() if len(s := shingles(t, k))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([named(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())], ["cid", "n", "map"])
+
+    near = marked(df.select(F.col("doc_id").cast("long"), "text"), wanted.select(F.col("rep").alias("doc_id")))
+    found = near.select("text").mapInArrow(run, "cid long, n long, map binary").groupBy("cid").agg(F.min("n").alias("n"), F.min("map").alias("map"))
+    return found.join(wanted.select("cid"), "cid", "left_semi")
+
+
+def near_maps(a: list, b: list, percent: int):
+    """Pairs of places in ``a`` and ``b``, lists of (size, bitmap), that may link; ``a`` is ``b``: each pair once.
+
+    A pair is compared in the shorter of its bitmaps, to which the longer one folds.
+    """
+    def widths(side):
+        out: dict = {}
+        for at, (_, m) in enumerate(side):
+            out.setdefault(len(m), []).append(at)
+        return out
+
+    def tree(side, at, words):
+        return Tree(None, [0] * len(at), 0, [side[x][0] for x in at], [np.bitwise_or.reduce(side[x][1].reshape(-1, words)) for x in at])
+
+    pairs = [np.empty((0, 2), np.int64)]
+    for v, x in widths(a).items():
+        for w, y in widths(b).items():
+            far = 100 * max(a[p][0] for p in x) < percent * min(b[q][0] for q in y) or 100 * max(b[q][0] for q in y) < percent * min(a[p][0] for p in x)
+            if far or (a is b and v > w):
+                continue
+            left = tree(a, x, min(v, w))
+            i, j = candidates(left, left if a is b and v == w else tree(b, y, min(v, w)), percent, True)
+            pairs.append(np.stack([np.array(x)[i], np.array(y)[j]], 1))
+    return np.concatenate(pairs).T
+
+
+def sift(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
+    """``(sig, pivot, member)`` again, without classes whose bitmap rules out a link with all others of their signatures.
+
+    Signatures with the same smallest member are one (``sig``); in it a class stands beside one that candidates join it with. What is
+    shuffled for a class are 4 to 8 bits for each shingle, for each of its groups, so texts go only where a link is likely.
+    """
+    percent, block = opts.percent, opts.block
+    grouped = by_signature(met, "met")
+    counted = grouped.groupBy("owner").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    maps = class_maps(grouped.select("cid").distinct().join(classes.select("cid", "rep"), "cid"), df, opts)
+    rows = in_units(grouped.join(counted, "owner")).join(maps, "cid").select("owner", "i", "j", "own", "cid", "n", "map") \
+        .repartition("owner", "i", "j").sortWithinPartitions("owner", "i", "j")
+
+    def unit(owner, i, j, held):
+        sides = [[r for r in held if r[0] == own] for own in ((i,) if i == j else (i, j))]
+        if not all(sides):
+            return None
+        ids = np.array([r[1] for side in sides for r in side], np.int64)
+        lists = [[(r[2], np.frombuffer(r[3], np.uint64)) for r in side] for side in sides]
+        p, q = near_maps(lists[0], lists[-1], percent)
+        top = roots(len(ids), p, q + (0 if i == j else len(sides[0])))
+        moved = np.flatnonzero(top != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.int64()) for x in (np.full(len(moved), owner), ids[top[moved]], ids[moved])], ["sig", "pivot", "member"]) if len(moved) else None
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for owner, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (owner, i, j) != key:
+                    if held and (out := unit(*key, held)) is not None:
+                        yield out
+                    key, held = (owner, i, j), []
+                held.append(row)
+        if held and (out := unit(*key, held)) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "sig long, pivot long, member long")
+
+
 def tree_links(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardOptions) -> DataFrame:
     """``(a, b, n)``: edges that join the components of classes and, without ``b``, parts of the number of rows that class ``a`` links with."""
     k, percent, block, family, count = opts.words, opts.percent, opts.block, opts.family, opts.count
@@ -368,16 +495,11 @@ def tree_links(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardO
         F.col("component").alias("sig"), "cid", F.lit(None).cast("long").alias("owner"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     # In larger families the signatures with the same smallest member, whose members are much the same, are joined as one group.
     wide = kin.join(sizes.filter(F.col("m") > family), "component").select(F.col("cid").alias("pivot"))
-    placed = met.join(wide, "pivot", "left_semi").select("sig", F.explode(F.array("pivot", "member")).alias("cid")).distinct()
-    placed = materialize(placed, "members")
-    least = placed.groupBy("sig").agg(F.min("cid").alias("owner"))
-    grouped = materialize(placed.join(least, "sig").select("owner", "cid").distinct(), "groups")
+    grouped = by_signature(met.join(wide, "pivot", "left_semi"), "members")
     counted = grouped.groupBy("owner").agg(F.count("*").alias("n"))
     large = grouped.join(counted, "owner").select(F.col("owner").alias("sig"), "cid", "owner", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     members = materialize(small.unionByName(large).join(classes, "cid"), "placed")
-    units = (members.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "cid"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("sig", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "size", "owner"))
+    units = in_units(members).select("sig", "blocks", "i", "j", "own", "cid", "size", "owner")
     # The groups of a class: a pair of one large family counts in the first of those that it has in common.
     groups = grouped.groupBy("cid").agg(F.collect_list("owner").alias("groups"))
     described = class_texts(members.select("cid", "rep").distinct(), df, opts).join(groups, "cid", "left")
@@ -387,9 +509,7 @@ def tree_links(met: DataFrame, classes: DataFrame, df: DataFrame, opts: JaccardO
 
     def unit(held):
         """Parts of columns a, b, n."""
-        bits = 64
-        while bits < 4 * max(len(r[3]) for r in held) and bits < 1 << 16:
-            bits *= 2
+        bits = width(max(len(r[3]) for r in held))
         i, j, owner = held[0][4:7]
         sides = [[r for r in held if r[0] == own] for own in ((i,) if i == j else (i, j))]
         if not all(sides):
@@ -445,6 +565,8 @@ def join(df: DataFrame, opts: JaccardOptions = JaccardOptions()) -> DataFrame:
     classes = materialize(known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     met = materialize(stars(df, total, opts), "stars")
+    if not opts.count:
+        met = materialize(sift(met, classes, df, opts), "sifted")
     found = materialize(tree_links(met, classes, df, opts), "tree-links")
     reps = classes.select("cid", "rep")
     edges = (found.filter("b is not null").select("a", "b").distinct()

@@ -144,6 +144,51 @@ def test_signature_trees_find_every_link():
     assert len(list(jaccard.traverse(copies, copies, 80))) == 49
 
 
+def test_bitmaps_of_different_widths_lose_no_link():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 5, 15, 17, 33, 70, 130, 260, 500, 17_000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 12:], r.integers(0, 2**63, len(s) // 11 + 1).astype(np.uint64)])) for s in sets for _ in range(3)]
+    maps = [(len(s), jaccard.bitmap(s, jaccard.width(len(s)))) for s in sets]
+    assert len({len(m) for _, m in maps}) > 6
+    for percent in (30, 80):
+        links = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard.links(sets[i], sets[j], percent)}
+        p, q = jaccard.near_maps(maps, maps, percent)
+        found = {tuple(sorted(x)) for x in zip(p.tolist(), q.tolist())}
+        assert len(found) == len(p) and links <= found and len(found) < len(sets) ** 2 / 4
+        p, q = jaccard.near_maps(maps[:20], maps[20:], percent)
+        assert {(i, j) for i, j in links if i < 20 <= j} <= {(i, j + 20) for i, j in zip(p.tolist(), q.tolist())}
+
+
+def test_texts_that_share_a_passage_only_are_sifted_out(spark):
+    """They have common signatures, but their texts need not be sent anywhere."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(200))
+    texts = [passage + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(150)) for _ in range(30)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for block in (4, 512):
+        opts = jaccard.JaccardOptions(5, 80, flush=500, block=block, count=False)
+        rows = jaccard.describe(df, opts)
+        classes = rows.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+        cid = {x.doc_id: x.cid for x in rows.collect()}
+        met = jaccard.stars(df, 10_000, opts)
+        assert len({c for x in met.collect() for c in (x.pivot, x.member)}) > 15
+        left = jaccard.sift(met, classes, df, opts).collect()
+        assert {frozenset((x.pivot, x.member)) for x in left} == {frozenset((cid[0], cid[30])), frozenset((cid[1], cid[31]))}
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(df, opts).collect()}
+        assert got == plain_components(texts, 5, 80)
+
+
+def test_rows_that_stay_are_not_marked(spark):
+    """Of the rows that an anti join keeps, only the marked ones are shuffled with their texts."""
+    df = spark.range(20_000).select(F.col("id").alias("key"), F.concat(F.lit("t"), "id").alias("text"))
+    lost = df.filter("key % 10 = 3").select("key").union(spark.range(50_000, 50_010).toDF("key"))
+    got = jaccard.without(df, lost, "key")
+    assert sorted(map(tuple, got.collect())) == [(i, f"t{i}") for i in range(20_000) if i % 10 != 3]
+    assert jaccard.flagged(df, lost, "key").filter("marked").count() < 2_100
+    assert jaccard.without(df, lost.limit(0), "key").count() == 20_000
+
+
 def test_linked_sets_share_a_signature():
     r = random.Random(6)
     for percent in (80, 90):
