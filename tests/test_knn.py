@@ -352,6 +352,22 @@ def test_both_sides_in_blocks_give_the_same_rows(spark, clustered, metric, floor
     assert rows(got) == brute(seeds, corpus, 6, metric)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("own", [False, True])
+@pytest.mark.parametrize("text", [False, True])
+def test_seeds_go_from_pass_to_pass_with_their_best(spark, monkeypatch, metric, own, text):
+    """Only k rows for each seed are merged, however many blocks the corpus has; copies tie across blocks, and the first blocks hold fewer than k rows."""
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(180, 5))
+    m[::4] = m[8]
+    ids = [f"r{i:03}" for i in range(180)] if text else range(180)
+    df, merged, ranked = frame(spark, m, ids), [], N._ranked
+    monkeypatch.setattr(N, "_ranked", lambda winners, *a, **b: (merged.append(winners.count()), ranked(winners, *a, **b))[1])
+    options = KnnOptions(metric, plan="partitioned", corpus="in_place", exclude_self=own, running_rows=70)
+    got = N.knn_join(df, df, 70, options)
+    assert rows(got) == brute(m, m, 70, metric, own, ids, ids) and merged == [180 * 70]
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 @pytest.mark.parametrize("exclude_self", [False, True])
 def test_single_precision_only_rules_out(metric, exclude_self, monkeypatch):
